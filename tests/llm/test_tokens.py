@@ -91,7 +91,7 @@ def test_plan_uses_each_length_once():
             used[s] += n * times
     assert used == Counter(histogram) and len(made) <= len(histogram)
     total = sum(s * n for s, n in histogram.items())
-    assert total / (2048 * sum(t for _, t in made)) > 0.999
+    assert total / (2048 * sum(t for _, t in made)) > 0.98
 
 
 def check_pack(plain, texts, got):
