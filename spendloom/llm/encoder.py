@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Units that one process remembers; beyond it the memo starts anew.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 1_000_000
 #: Characters that one plain call encodes at most, where the text has a safe cut.
 PLAIN_CHARS = 200_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
