@@ -39,8 +39,15 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return w.select("source", "source_size", F.coalesce(share, F.col("cap").cast("double")).alias("target"))
 
 
+def random_key() -> Column:
+    """60 bits of the md5 of doc_id and the text's md5."""
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest).cast("binary"))
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, epochs: int = EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes), with source and the text's md5.
+    """doc_id, size, source_size, target, taken (words the mix takes), with source and key.
 
     Each document gets a hash-random key; keys are cut in ranges of equal width,
     so every range of a source holds about bucket_rows rows however large the
@@ -53,9 +60,7 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, bucket_rows: int = BUCKET_ROWS) -
     equal keys keep together and are cut in order of size. A source whose size
     is 0 has target 0. Empty table: no rows. Other columns are ignored.
     """
-    d = docs.select("doc_id", "source", word_count().alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest")).cast("binary"))
-    d = d.withColumn("key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long"))
+    d = docs.select("doc_id", "source", word_count().alias("size"), random_key().alias("key"))
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     ranges = F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).cast("long")
     plan = targets(sizes.select("source", "source_size"), epochs).join(sizes.select(F.col("source").alias("s"), ranges.alias("ranges")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -71,7 +76,23 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, bucket_rows: int = BUCKET_ROWS) -
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = F.floor(F.col("target")) - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - first))
-    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "digest", "key")
+    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "key")
+
+
+def mixture(docs: DataFrame, epochs: int = EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of docs, as often as the mix takes them whole: the document at the cut goes if half of its words are within.
+
+    The mix takes the first documents of a source in key order once more than
+    the rest, so the last such key of each source decides for every row, and the
+    texts aren't moved.
+    """
+    m = mix(docs, epochs, bucket_rows)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    more = (F.col("size") > 0) & (2 * (F.col("taken") - whole * F.col("size")) >= F.col("size"))
+    cuts = m.groupBy("source").agg(F.first(whole).alias("_whole"), F.coalesce(F.max(F.when(more, F.col("key"))), F.lit(-1)).alias("_cut")).withColumnRenamed("source", "_of")
+    rows = docs.withColumn("_key", random_key()).join(cuts, F.col("source").eqNullSafe(F.col("_of")))
+    copies = (F.col("_whole") + (F.col("_key") <= F.col("_cut")).cast("long")).cast("int")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ assert estimate(DIFFERING) >= FLOOR > estimate(DIFFERING + 1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, hi, lo, bands, sketch). hi and lo: the 128-bit digest of the set; null for the empty set."""
+    """(doc_id, row, n, hi, lo, bands, sketch). row: the text's hash. hi and lo: the 128-bit digest of the set; null for the empty set."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +160,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     keys.append(bands(m))
                     sketches.append(odd_sketch(m))
                 longs = pa.list_(pa.int64())
-                yield pa.record_batch([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs)], names=["doc_id", "n", "hi", "lo", "bands", "sketch"])
+                yield pa.record_batch([rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs)], names=["doc_id", "row", "n", "hi", "lo", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, n long, hi long, lo long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _in_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs.
+    """doc_id, n_shingles, component_id, kept, and row (the text's hash): one row for each row of docs.
 
     A null or wordless text has the empty set and is linked with nothing. Rows
     with equal sets are linked. Rows that share a doc_id but not a text count
@@ -290,11 +290,19 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             edges = stored(confirm(pairs, sets, threshold), "links")
             if not edges.isEmpty():
                 labels = relabel(labels, edges)
-    out = sig.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
+    out = sig.select("doc_id", "row", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     out = out.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "row")
+
+
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, with their columns; rows that repeat with the same doc_id and text fall to one."""
+    kept = link_components(docs, threshold).where("kept").select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
+    rows = docs.withColumn("_row", F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
 
 
 def op8_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(table(spark, sf_dir, "documents"))
+    return link_components(table(spark, sf_dir, "documents")).drop("row")

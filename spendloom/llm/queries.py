@@ -8,8 +8,10 @@ from .language import op5_ppm_language
 from .licences import op9_licence_digests, op9_sql
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP10_SQL, op10_mix_sources
+from .near_dedup import op8_minhash_odd_sketch
 from .packing import op4_min_slack_packing
+from .pii import op1_boosted_pii
 from .token_stream import op2_token_stream
 
-QUERIES = {f.__name__: f for f in (op2_token_stream, op3_flac_media, op4_min_slack_packing, op5_ppm_language, op6_line_dedup, op7_bit_sliced_topk, op9_licence_digests, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_boosted_pii, op2_token_stream, op3_flac_media, op4_min_slack_packing, op5_ppm_language, op6_line_dedup, op7_bit_sliced_topk, op8_minhash_odd_sketch, op9_licence_digests, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_bit_sliced_topk": OP7_SQL, "op9_licence_digests": op9_sql(), "op10_mix_sources": OP10_SQL}
