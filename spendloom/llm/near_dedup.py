@@ -27,12 +27,13 @@ WORDS = 5
 THRESHOLD = 85
 #: 24 bands of 4 samples miss a pair of similarity 0.85 with probability 2e-8.
 BANDS, ROWS = 24, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 1024
+#: Samples that sketches fold; the first BANDS * ROWS make the bands.
+SAMPLES = 192
+SKETCH_BITS = 2048
 #: Estimates below this are six standard deviations under the threshold.
-FLOOR = 0.62
-#: Pivot rounds before the rest is compared in blocks, and the members of a block.
-ROUNDS, MEMBERS = 4, 512
+FLOOR = 0.695
+#: Pivot rounds before the rest is compared in blocks; the members of a block and the bytes of their sets.
+ROUNDS, MEMBERS, SET_BYTES = 4, 512, 8 << 20
 
 _U = np.uint64
 _rng = np.random.default_rng(20240601)
@@ -119,7 +120,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def bands(samples: np.ndarray) -> np.ndarray:
-    by_band = _mix(samples.reshape(BANDS, ROWS) + np.arange(ROWS, dtype=_U) * _R)
+    by_band = _mix(samples[: BANDS * ROWS].reshape(BANDS, ROWS) + np.arange(ROWS, dtype=_U) * _R)
     return _mix(by_band.sum(1, dtype=_U) + np.arange(BANDS, dtype=_U) * _R).view(np.int64)
 
 
@@ -225,27 +226,61 @@ def relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(out, "labels")
 
 
-def _in_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs of members (key, doc, comp) of one bucket and different components, block against block."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("blocks"))
-    m = members.join(sizes, "key").join(sketches, "doc").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+def _forest(table: pa.Table, threshold: int) -> pa.Table:
+    """Links between the components in a block, or between two blocks, that join what wasn't joined: a spanning forest.
+
+    Pairs are taken from the likest sketches down; a pair whose components are
+    joined already needs no check of its sets.
+    """
+    doc, comp = table["doc"].to_numpy(), table["comp"].to_numpy()
+    bits = np.array(table["sketch"].to_pylist(), np.int64).view(_U)
+    sets = [np.frombuffer(x.as_py(), _U) for x in table["shingles"]]
+    second = table["second"].to_numpy(zero_copy_only=False)
+    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(doc)),) * 2
+    found = []
+    for i in left.tolist():
+        differing = np.bitwise_count(bits[right] ^ bits[i]).sum(1, dtype=np.int64)
+        near = np.flatnonzero((differing <= DIFFERING) & (comp[right] != comp[i]))
+        found.append(np.stack([differing[near], np.full(len(near), i), right[near]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out: list[list] = [[], []]
+    for _, i, j in pairs.T.tolist():
+        p, q = find(int(comp[i])), find(int(comp[j]))
+        if p != q and linked(sets[i], sets[j], threshold):
+            root[p] = q
+            out[0].append(max(doc[i], doc[j]))
+            out[1].append(min(doc[i], doc[j]))
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+
+def _in_blocks(members: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components of the members (key, doc, comp): each family of buckets, block against block.
+
+    A family holds all documents that chains of shared buckets join, each once.
+    A large family is cut by a hash in blocks of bounded rows and bytes, and two
+    blocks at a time meet in one task, so no task holds a family.
+    """
+    firsts = members.groupBy("key").agg(F.min("doc").alias("b"))
+    families = components(members.join(firsts, "key").select(F.col("doc").alias("a"), "b"))
+    m = members.select("doc", "comp").distinct().join(families, F.col("doc") == F.col("node"), "left").select("doc", "comp", F.coalesce("root", "doc").alias("family"))
+    m = stored(m.join(sets, "doc"), "families")
+    sizes = m.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum(F.length("shingles")) / SET_BYTES)).cast("long").alias("blocks"))
+    m = m.join(sketches, "doc").join(sizes, "family").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     m = m.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    m = m.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "doc", "comp", "sketch")
+    m = m.select("family", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "doc", "comp", "sketch", "shingles")
 
     def run(t: pa.Table) -> pa.Table:
-        doc, comp = t["doc"].to_numpy(), t["comp"].to_numpy()
-        bits = np.array(t["sketch"].to_pylist(), np.int64).view(_U)
-        second = t["second"].to_numpy(zero_copy_only=False)
-        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(doc)),) * 2
-        out: list[list] = [[], []]
-        for i in left.tolist():
-            near = np.bitwise_count(bits[right] ^ bits[i]).sum(1) <= DIFFERING
-            for j in right[near & (comp[right] != comp[i])].tolist():
-                out[0].append(max(doc[i], doc[j]))
-                out[1].append(min(doc[i], doc[j]))
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+        return _forest(t, threshold)
 
-    return m.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return m.groupBy("family", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -283,11 +318,11 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 break
             if turn < ROUNDS:
                 pairs = rest.where("doc <> pivot and comp <> pivot_comp").select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct()
-                pairs = sketch_filter(pairs, sketches)
+                links = confirm(sketch_filter(pairs, sketches), sets, threshold)
                 members = rest.where("doc <> pivot").select("key", "doc", "degree")
             else:
-                pairs = _in_blocks(rest.select("key", "doc", "comp"), sketches)
-            edges = stored(confirm(pairs, sets, threshold), "links")
+                links = _in_blocks(rest.select("key", "doc", "comp"), sketches, sets, threshold)
+            edges = stored(links, "links")
             if not edges.isEmpty():
                 labels = relabel(labels, edges)
     out = sig.select("doc_id", "row", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
