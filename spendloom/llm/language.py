@@ -24,7 +24,7 @@ ORDER = 3
 #: Training documents of each language: about this many, by the hash of doc_id (the documented bound of the fit).
 SAMPLE_DOCS = 1_500
 #: Bytes of the frozen table at most; the alphabet shrinks with the number of languages.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 UNIT = 1024
 UND = "und"
 
@@ -105,18 +105,28 @@ def freeze(grams: list[tuple[str, np.ndarray, np.ndarray]], order: int = ORDER,
     symbol = np.full(256, size - 1, np.int64)
     symbol[common] = np.arange(len(common))
     out = np.empty((size ** (order + 1), len(languages)), np.uint16)
+
+    def longer(seen: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Code lengths after contexts one symbol longer than below's, from their counts (context, symbol)."""
+        total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+        below = np.tile(below.ravel(), seen.size // below.size).reshape(seen.shape)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(total == 0, below, np.where(seen > 0, np.log2(total + kinds) - np.log2(seen), np.log2(total + kinds) - np.log2(kinds) + below))
+
     for column, (_, gram, n) in enumerate(grams):
         key = np.zeros(len(gram), np.int64)
         for i in range(order, -1, -1):
             key = key * size + symbol[gram >> (8 * i) & 255]
         cost = np.full(1, np.log2(size))
-        for level in range(order + 1):
-            seen = np.bincount(key % size ** (level + 1), weights=n, minlength=size ** (level + 1)).reshape(-1, size)
-            total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            below = np.tile(cost.ravel(), len(seen) * size // cost.size).reshape(seen.shape)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cost = np.where(total == 0, below, np.where(seen > 0, np.log2(total + kinds) - np.log2(seen), np.log2(total + kinds) - np.log2(kinds) + below))
-        out[:, column] = np.minimum(np.rint(cost.ravel() * UNIT), 65535)
+        for level in range(order):
+            cost = longer(np.bincount(key % size ** (level + 1), weights=n, minlength=size ** (level + 1)).reshape(-1, size), cost)
+        part = size**order  # the longest contexts by their first symbol, as the driver's memory is small
+        by_first = np.argsort(key // part, kind="stable")
+        bounds = np.searchsorted(key[by_first] // part, np.arange(size + 1))
+        for first in range(size):
+            mine = by_first[bounds[first] : bounds[first + 1]]
+            bits = longer(np.bincount(key[mine] % part, weights=n[mine], minlength=part).reshape(-1, size), cost)
+            out[first * part : (first + 1) * part, column] = np.minimum(np.rint(bits.ravel() * UNIT), 65535)
     return Model(languages, symbol[folded()].astype(np.uint8), out)
 
 
