@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .operators import relational, sequences, spend
+from .plans.dialect import bind
+
+QUERIES, ORACLE_SQL = bind(spend.QUERIES | sequences.QUERIES | relational.QUERIES)
