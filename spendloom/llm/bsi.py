@@ -22,8 +22,8 @@ from .common import small_batches, stored, table
 K = 20
 SCALE = 64
 EVERY = 20
-#: Rows of a candidate block and of a query block.
-BLOCK, QUERIES = 65_536, 2_048
+#: Rows of a candidate block, and of a query block at least; query blocks grow so that there are PARTS at most.
+BLOCK, QUERIES, PARTS = 65_536, 256, 1_000
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -137,8 +137,18 @@ def top_rows(total: list[np.ndarray], among: np.ndarray, k: int) -> tuple[np.nda
     return rows[best], score[best]
 
 
-def _blocks(rows: DataFrame, size: int, kind: str) -> DataFrame:
-    """(block, ids, dims, q): consecutive rows by vec_id, packed. Block numbers are unique, not dense."""
+def _narrow(q: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest type that holds them."""
+    top = max(int(q.max(initial=0)), -1 - int(q.min(initial=0)))
+    return q.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(t).max))
+
+
+def _wide(q: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(q, f"<i{len(q) // (rows * dims)}").reshape(rows, dims).astype(np.int64)
+
+
+def _blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
+    """(block, dims, ids, q): rows as the scan gives them, packed. Block numbers are unique, not dense. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -150,7 +160,7 @@ def _blocks(rows: DataFrame, size: int, kind: str) -> DataFrame:
             held = values.pop(dims)
             i, q = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             nth += 1
-            return pa.record_batch([pa.array([part + nth]), pa.array([dims], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([q.tobytes()], pa.binary())], names=["block", "dims", "ids", "q"])
+            return pa.record_batch([pa.array([part + nth]), pa.array([dims], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([_narrow(q).tobytes()], pa.binary())], names=["block", "dims", "ids", "q"])
 
         for b in batches:
             q = b.column(1)
@@ -166,8 +176,7 @@ def _blocks(rows: DataFrame, size: int, kind: str) -> DataFrame:
         for dims in list(values):
             yield flush(dims)
 
-    ordered = rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id") if kind == "rows" else rows
-    return ordered.mapInArrow(run, "block long, dims int, ids binary, q binary")
+    return rows.coalesce(max(1, -(-total // size))).mapInArrow(run, "block long, dims int, ids binary, q binary")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
@@ -183,11 +192,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = _blocks(quantised(vectors, scale), block, "rows")
-    wanted = _blocks(quantised(queries, scale).dropDuplicates(["vec_id"]), query_block, "queries")
+    n_queries = queries.count()
+    query_block = max(query_block, -(-n_queries // PARTS))
+    rows = _blocks(quantised(vectors, scale), block, vectors.count())
+    wanted = _blocks(quantised(queries, scale).dropDuplicates(["vec_id"]), query_block, n_queries)
     rows, wanted = stored(rows, "bsi"), stored(wanted, "bsi-queries").withColumnsRenamed({"block": "query_block", "ids": "query_ids", "q": "query_q"})
     # One partition for a block pair or few: dims is one value or few, so the pairs are dealt out by both block numbers.
-    parts = [r[0] for r in wanted.select("query_block").collect()]  # one number for each 2048 queries
+    parts = [r[0] for r in wanted.select("query_block").collect()]  # PARTS numbers at most, and what partly filled blocks add
     numbers = F.array(*[F.lit(p) for p in parts]) if parts else F.array().cast("array<long>")
     pairs = rows.withColumn("query_block", F.explode(numbers))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -198,11 +209,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
             for dims, ids, q, query_ids, query_q in zip(*(b.column(i).to_pylist() for i in range(5))):
                 ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
                 order = np.argsort(ids, kind="stable")
-                ids, q = ids[order], np.frombuffer(q, np.int64).reshape(-1, dims)[order]
+                ids, q = ids[order], _wide(q, len(ids), dims)[order]
                 index = slices_of(q)
                 every = np.packbits(np.arange(index[0].shape[1] * 64) < len(ids), bitorder="little").view(np.uint64)
                 out: list[list] = [[], [], []]
-                for i, v in zip(query_ids.tolist(), np.frombuffer(query_q, np.int64).reshape(-1, dims)):
+                for i, v in zip(query_ids.tolist(), _wide(query_q, len(query_ids), dims)):
                     among = every
                     lo, hi = np.searchsorted(ids, [i, i + 1])
                     if hi > lo:
