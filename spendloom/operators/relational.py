@@ -20,7 +20,7 @@ QUERIES = {
         s AS (SELECT c.item_id, c.doc_id, CAST(c AS DOUBLE) / (nd.n + nq.n - c) AS sim FROM c JOIN nd ON c.doc_id = nd.doc_id JOIN nq ON c.item_id = nq.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS k FROM s WHERE sim >= 0.5e0) SELECT item_id, doc_id, round(sim, 6) AS sim FROM r WHERE k <= 5"""),
     "j10_divergence": Query("SELECT coalesce(a.user_id, b.user_id - 1) AS pair, min(CASE WHEN a.event_type IS NULL OR b.event_type IS NULL OR a.event_type <> b.event_type THEN coalesce(a.i, b.i) END) AS diverges_at FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {events} WHERE user_id % 2 = 0) a FULL JOIN (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {events} WHERE user_id % 2 = 1) b ON a.user_id = b.user_id - 1 AND a.i = b.i GROUP BY coalesce(a.user_id, b.user_id - 1)"),
     "j11_ancestor_charges": Query("""WITH RECURSIVE parents AS (SELECT n_name AS child, r_name AS parent FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'fleet' FROM {region}), up AS (SELECT child AS base, child AS envelope, 0 AS hops FROM parents UNION ALL SELECT up.base, p.parent, up.hops + 1 FROM up JOIN parents p ON p.child = up.envelope WHERE up.hops < 16)
-        SELECT envelope, hops, round(sum(cost_usd), 4) AS cost, count(*) AS n FROM {charges} JOIN up ON nation = base GROUP BY envelope, hops"""),
+        SELECT envelope, hops, CAST(sum(CAST(cost_usd AS DECIMAL(18, 4))) AS DOUBLE) AS cost, count(*) AS n FROM {charges} JOIN up ON nation = base GROUP BY envelope, hops"""),
     "k1_latest": Query("SELECT event_id, ts FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 100"),
     "k4_top_by_group": Query("WITH r AS (SELECT c_mktsegment, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM {customer}) SELECT c_mktsegment, c_custkey, c_acctbal, CAST(k AS BIGINT) AS k FROM r WHERE k <= 10"),
     "k5_lru": Query("WITH lim AS (SELECT max(ts) AS now FROM {events}), l AS (SELECT user_id, event_type, max(ts) AS hit, min(ts) AS made FROM {events} GROUP BY user_id, event_type), r AS (SELECT *, row_number() OVER (ORDER BY hit DESC, made DESC, user_id, event_type) AS k FROM l CROSS JOIN lim WHERE hit >= @minus_days(now; 7)) SELECT user_id, event_type, hit FROM r WHERE k <= 50"),

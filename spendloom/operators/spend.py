@@ -8,9 +8,9 @@ COST = "(greatest(0, c.tokens_in - c.tokens_cached) * p.in_usd + c.tokens_cached
 QUERIES = {
     "a1_spend_since": Query("SELECT agent_id, coalesce(round(sum(CASE WHEN ts >= TIMESTAMP '1996-01-01 00:00:00' THEN cost_usd END), 4), 0e0) AS spent FROM {charges} GROUP BY agent_id"),
     "a2_count_by_feature": Query("SELECT event_type, count(*) AS n FROM {events} WHERE event_type IS NOT NULL GROUP BY event_type"),
-    "a3_attribution_rollup": Query("""SELECT coalesce(region, '(unattributed)') AS region, coalesce(nation, '(unattributed)') AS nation, concat_ws('|', region, nation) AS dim_key, round(sum(cost_usd), 4) AS cost,
+    "a3_attribution_rollup": Query("""SELECT coalesce(region, '(unattributed)') AS region, coalesce(nation, '(unattributed)') AS nation, concat_ws('|', region, nation) AS dim_key, CAST(sum(CAST(cost_usd AS DECIMAL(18, 4))) AS DOUBLE) AS cost,
         CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(tokens_cached) AS BIGINT) AS tokens_cached, count(*) AS n FROM {charges} GROUP BY region, nation ORDER BY cost DESC, dim_key"""),
-    "a3_rollup_totals": Query("SELECT region, nation, round(sum(cost_usd), 4) AS cost, count(*) AS n FROM {charges} GROUP BY ROLLUP (region, nation)"),
+    "a3_rollup_totals": Query("SELECT region, nation, CAST(sum(CAST(cost_usd AS DECIMAL(18, 4))) AS DOUBLE) AS cost, count(*) AS n FROM {charges} GROUP BY ROLLUP (region, nation)"),
     "a4_slo_sli": Query("""WITH lim AS (SELECT max(ts) AS as_of FROM {charges}), tasks AS (
         SELECT task_id, sum(cost_usd) AS cost FROM {charges} CROSS JOIN lim WHERE task_id IS NOT NULL AND ts >= @minus_days(as_of; 365) AND ts <= as_of GROUP BY task_id)
         SELECT count(*) AS tasks, CAST(sum(CASE WHEN cost > 100000e0 THEN 1 ELSE 0 END) AS BIGINT) AS exceeding, round(sum(greatest(0e0, cost - 100000e0)), 4) AS excess,
