@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import relational, sequences, spend
+from .operators import decisions, relational, sequences, spend
 from .plans.dialect import bind
 
-QUERIES, ORACLE_SQL = bind(spend.QUERIES | sequences.QUERIES | relational.QUERIES)
+QUERIES, ORACLE_SQL = bind(spend.QUERIES | sequences.QUERIES | relational.QUERIES | decisions.QUERIES)
