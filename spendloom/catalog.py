@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import decisions, relational, sequences, spend
+from .operators import decisions, graphs, relational, sequences, spend
 from .plans.dialect import bind
 
 QUERIES, ORACLE_SQL = bind(spend.QUERIES | sequences.QUERIES | relational.QUERIES | decisions.QUERIES)
+QUERIES |= graphs.QUERIES
+ORACLE_SQL |= graphs.ORACLE_SQL

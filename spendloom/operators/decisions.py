@@ -3,7 +3,7 @@
 from ..plans.dialect import Query
 
 _PRICED = "FROM {charges} c LEFT JOIN {prices} p ON c.model = p.model"
-_ARMS = "SELECT CAST(sum(CASE WHEN source = 'web' THEN 1 ELSE 0 END) AS DOUBLE) AS n1, CAST(sum(CASE WHEN source = 'web' THEN quality ELSE 0 END) AS DOUBLE) AS k1, CAST(sum(CASE WHEN source <> 'web' THEN 1 ELSE 0 END) AS DOUBLE) AS n2, CAST(sum(CASE WHEN source <> 'web' THEN quality ELSE 0 END) AS DOUBLE) AS k2 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"
+_ARMS = "SELECT CAST(sum(CASE WHEN source < 'src15' THEN 1 ELSE 0 END) AS DOUBLE) AS n1, CAST(sum(CASE WHEN source < 'src15' THEN quality ELSE 0 END) AS DOUBLE) AS k1, CAST(sum(CASE WHEN source >= 'src15' THEN 1 ELSE 0 END) AS DOUBLE) AS n2, CAST(sum(CASE WHEN source >= 'src15' THEN quality ELSE 0 END) AS DOUBLE) AS k2 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"
 
 QUERIES = {
     "f1_event_cost": Query("SELECT c.charge_id, c.task_id, round((greatest(0, c.tokens_in - c.tokens_cached) * p.in_usd + c.tokens_cached * coalesce(p.cached_usd, p.in_usd) + c.tokens_out * p.out_usd) / 1e6, 8) AS cost " + _PRICED),
