@@ -14,6 +14,8 @@ from .common import slices, small_batches, stored, table
 
 #: Lines of fewer words stay wherever they are: short phrases recur by chance.
 MIN_WORDS = 8
+#: Parts that the lines of one digest are dealt over.
+SALTS = 64
 _DROP = str.maketrans("", "", string.punctuation)
 
 
@@ -50,17 +52,21 @@ def line_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_lines(units: DataFrame) -> DataFrame:
+def repeated_lines(units: DataFrame, salts: int = SALTS) -> DataFrame:
     """The units that an earlier one repeats: by (doc_id, row, start), null ids last.
 
-    The group-by keeps one struct for each digest and is summed before its
-    shuffle; only digests seen twice are joined back, one row for each, so a
-    digest that many lines share is split by the skew join.
+    A digest that many lines share is dealt over salts parts. Each part is summed
+    to its first and last unit before the shuffle; the parts of a digest (salts
+    at most) give its first unit, which goes back to just the parts that exist.
+    So no task gets more than one part of a digest, and the table joined back
+    never has more rows than units.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    first = first.where(F.col("first") < F.col("last")).select("hi", "lo", "first")
-    return units.withColumn("rank", rank).join(first, ["hi", "lo"]).where(F.col("rank") > F.col("first")).drop("rank", "first", "hi", "lo")
+    units = units.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(salts)).cast("int")).withColumn("rank", rank)
+    parts = units.groupBy("hi", "lo", "part").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    first = parts.groupBy("hi", "lo").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.collect_list("part").alias("parts"))
+    first = first.where(F.col("first") < F.col("last")).select("hi", "lo", F.explode("parts").alias("part"), "first")
+    return units.join(first, ["hi", "lo", "part"]).where(F.col("rank") > F.col("first")).drop("rank", "first", "hi", "lo", "part")
 
 
 def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
