@@ -15,7 +15,7 @@ from .licence_texts import LICENCES, NAMES, TEMPLATES, TITLES
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("https", "http"), ("v 2 0", "version 2 0"), ("v2 0", "version 2 0"), ("v3", "version 3"), ("v2", "version 2")]
 _COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 _OTHER = r"[\x01-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Every known notice has one of these; other lines aren't looked up.
+#: What the SQL looks lines up by. Some known notices ("Released under CC BY 4.0.") have none of these, so the operator doesn't use it.
 _TRIGGER = r"(?i)licen[cs]e|public domain|spdx"
 
 
@@ -50,7 +50,8 @@ def known() -> list[tuple[str, str]]:
 def scan_licences(docs: DataFrame) -> DataFrame:
     """docs with text_sha256 (of the canonical whole text), licence (of a whole text that is a known one) and notices.
 
-    notices: the sorted distinct licences of lines that are known notices. Whole
+    notices: the sorted distinct licences of lines that are known notices; every
+    line is hashed. Whole
     texts are hash-joined to the digests, a constant table; nothing is shuffled.
     Nulls: a null text has null digest and licence and no notices. An empty text
     has the digest of ''. Repeated rows each get their result; a text that two
@@ -61,9 +62,10 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     pairs = known()
     digests = spark.createDataFrame(pairs, "text_sha256 string, licence string")
     lookup = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_TRIGGER))
-    found = F.transform(lines, lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256)))
-    notices = F.coalesce(F.sort_array(F.array_distinct(F.array_compact(found))), F.array().cast("array<string>"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.sha2(canonical(x), 256))
+    seen = F.filter(lines, lambda x: x.isin([digest for digest, _ in pairs]))  # a hash set; a map's keys are searched one by one
+    found = F.transform(seen, lambda x: F.try_element_at(lookup, x))
+    notices = F.coalesce(F.sort_array(F.array_distinct(found)), F.array().cast("array<string>"))
     base = docs.drop("text_sha256", "licence", "notices")
     return base.withColumns({"text_sha256": F.sha2(canonical(F.col("text")), 256), "notices": notices}).join(F.broadcast(digests), "text_sha256", "left")
 

@@ -1,6 +1,6 @@
 """Nulls, empty texts and tables, ties, repeated rows and clashing columns for line dedup, licences and mixing."""
 
-from spendloom.llm.licence_texts import LICENCES, TITLES
+from spendloom.llm.licence_texts import LICENCES, NAMES, TEMPLATES, TITLES
 from spendloom.llm.licences import scan_licences
 from spendloom.llm.line_dedup import deduplicate_lines
 from spendloom.llm.mixing import mix, mixture
@@ -44,6 +44,14 @@ def test_licences(spark):
     assert scan_licences(table(spark, rows).limit(0)).count() == 0
 
 
+def test_every_known_notice(spark):
+    texts = {t.format(name): spdx for spdx in sorted(NAMES, reverse=True) for name in NAMES[spdx] for t in TEMPLATES}
+    texts |= {"CC_BY  4.0": "CC-BY-4.0", "CC0 1.0 Universal Public  Domain Dedication": "CC0-1.0"}
+    rows = [(i, f"code\n{x}\nmore", "a") for i, x in enumerate(texts)]
+    got = {r.doc_id: r.notices for r in scan_licences(table(spark, rows)).collect()}
+    assert [x for i, x in enumerate(texts) if got[i] != [texts[x]]] == []
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7), "abc"[i % 3] if i % 11 else None) for i in range(200)] + [(None, "x y", "a"), (500, None, "a"), (501, "", "only_empty"), (7, "w " * 7, "a"), (7, "w " * 7, "a"), (600, "z " * 50_000, "b")]
     docs = table(spark, rows)
