@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; documents without an id of their own stay."""
-    return near_dedup.keep_one(docs)
+    """Keeps the document with the smallest id of each group of near copies (0.8 or more of their shingles); documents without an id of their own stay."""
+    return near_dedup.keep_one(docs, threshold=80)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,13 +25,11 @@ from .common import slices, small_batches, stored, table
 WORDS = 5
 #: A link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-#: 24 bands of 4 samples miss a pair of similarity 0.85 with probability 2e-8.
-BANDS, ROWS = 24, 4
-#: Samples that sketches fold; the first BANDS * ROWS make the bands.
+#: Samples of a band, and the most that bands may miss of the pairs at the threshold.
+ROWS, MISS = 4, 2.1e-8
+#: Samples that sketches fold; the first ROWS of each band make the bands.
 SAMPLES = 192
 SKETCH_BITS = 2048
-#: Estimates below this are six standard deviations under the threshold.
-FLOOR = 0.695
 #: Pivot rounds before the rest is compared in blocks; the members of a block and the bytes of their sets.
 ROUNDS, MEMBERS, SET_BYTES = 4, 512, 8 << 20
 
@@ -119,9 +117,17 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(samples: np.ndarray) -> np.ndarray:
-    by_band = _mix(samples[: BANDS * ROWS].reshape(BANDS, ROWS) + np.arange(ROWS, dtype=_U) * _R)
-    return _mix(by_band.sum(1, dtype=_U) + np.arange(BANDS, dtype=_U) * _R).view(np.int64)
+def band_count(threshold: int) -> int:
+    """The fewest bands that miss a pair at the threshold with probability MISS at most: 24 at 85, 34 at 80."""
+    least = math.ceil(math.log(MISS) / math.log1p(-min(threshold / 100, 0.999) ** ROWS))
+    if least * ROWS > SAMPLES:
+        raise ValueError(f"a threshold of {threshold} needs {least} bands of {ROWS} samples, more than {SAMPLES} samples")
+    return least
+
+
+def bands(samples: np.ndarray, count: int) -> np.ndarray:
+    by_band = _mix(samples[: count * ROWS].reshape(count, ROWS) + np.arange(ROWS, dtype=_U) * _R)
+    return _mix(by_band.sum(1, dtype=_U) + np.arange(count, dtype=_U) * _R).view(np.int64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -135,14 +141,21 @@ def estimate(differing: float) -> float:
     return 1 + SKETCH_BITS / (4 * SAMPLES) * math.log(max(1e-9, 1 - 2 * differing / SKETCH_BITS))
 
 
-#: Most differing bits of a candidate: the inverse of estimate at FLOOR.
-DIFFERING = int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - FLOOR) / SKETCH_BITS)))
-assert estimate(DIFFERING) >= FLOOR > estimate(DIFFERING + 1)
+def floor(threshold: int) -> float:
+    """Estimates below this are six standard deviations under the threshold (in thousandths: 0.695 at 85, 0.626 at 80)."""
+    t = threshold / 100
+    return math.floor(1000 * (t - 6 * math.sqrt(t * (1 - t) / SAMPLES))) / 1000
+
+
+def most_differing(threshold: int) -> int:
+    """Most differing bits of a candidate: the inverse of estimate at the floor."""
+    return int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - floor(threshold)) / SKETCH_BITS)))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, row, n, hi, lo, bands, sketch). row: the text's hash. hi and lo: the 128-bit digest of the set; null for the empty set."""
     small_batches(docs.sparkSession)
+    count = band_count(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +171,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     m = minhash(s)
                     hi.append(int.from_bytes(d[:8], "little", signed=True))
                     lo.append(int.from_bytes(d[8:], "little", signed=True))
-                    keys.append(bands(m))
+                    keys.append(bands(m, count))
                     sketches.append(odd_sketch(m))
                 longs = pa.list_(pa.int64())
                 yield pa.record_batch([rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs)], names=["doc_id", "row", "n", "hi", "lo", "bands", "sketch"])
@@ -194,11 +207,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def sketch_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def sketch_filter(pairs: DataFrame, sketches: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     x = sketches.withColumnsRenamed({"doc": "a", "sketch": "xa"})
     y = sketches.withColumnsRenamed({"doc": "b", "sketch": "xb"})
     differing = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return pairs.join(x, "a").join(y, "b").where(differing <= DIFFERING).select("a", "b").distinct()
+    return pairs.join(x, "a").join(y, "b").where(differing <= most_differing(threshold)).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -237,10 +250,10 @@ def _forest(table: pa.Table, threshold: int) -> pa.Table:
     sets = [np.frombuffer(x.as_py(), _U) for x in table["shingles"]]
     second = table["second"].to_numpy(zero_copy_only=False)
     left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(doc)),) * 2
-    found = []
+    found, most = [], most_differing(threshold)
     for i in left.tolist():
         differing = np.bitwise_count(bits[right] ^ bits[i]).sum(1, dtype=np.int64)
-        near = np.flatnonzero((differing <= DIFFERING) & (comp[right] != comp[i]))
+        near = np.flatnonzero((differing <= most) & (comp[right] != comp[i]))
         found.append(np.stack([differing[near], np.full(len(near), i), right[near]]))
     pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
     pairs = pairs[:, np.lexsort(pairs[::-1])]
@@ -293,7 +306,7 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     smallest id stands for a component. Very long texts are read in segments.
     Empty table: no rows. Other columns are ignored.
     """
-    sig = stored(signatures(docs), "signatures")
+    sig = stored(signatures(docs, threshold), "signatures")
     classes = sig.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
     reps = sig.join(classes, ["hi", "lo"]).where("doc_id = rep").select(F.col("doc_id").alias("doc"), "bands", "sketch").dropDuplicates(["doc", "bands"])
@@ -318,7 +331,7 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 break
             if turn < ROUNDS:
                 pairs = rest.where("doc <> pivot and comp <> pivot_comp").select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct()
-                links = confirm(sketch_filter(pairs, sketches), sets, threshold)
+                links = confirm(sketch_filter(pairs, sketches, threshold), sets, threshold)
                 members = rest.where("doc <> pivot").select("key", "doc", "degree")
             else:
                 links = _in_blocks(rest.select("key", "doc", "comp"), sketches, sets, threshold)

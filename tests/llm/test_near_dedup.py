@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from spendloom.llm import near_dedup as N
 
@@ -86,6 +87,17 @@ def test_against_all_pairs(spark, monkeypatch):
     assert run(spark, rows) == want
 
 
+def test_bounds_follow_threshold():
+    assert (N.band_count(85), N.floor(85)) == (24, 0.695) and (N.band_count(80), N.floor(80)) == (34, 0.626)
+    for threshold in (75, 80, 85, 95):
+        t, most = threshold / 100, N.most_differing(threshold)
+        assert (1 - t**N.ROWS) ** N.band_count(threshold) <= N.MISS
+        assert N.estimate(most) >= N.floor(threshold) > N.estimate(most + 1)
+        assert (t - N.floor(threshold)) / (t * (1 - t) / N.SAMPLES) ** 0.5 >= 6
+    with pytest.raises(ValueError):
+        N.band_count(50)
+
+
 def test_edges(spark):
     assert run(spark, []) == []
     assert run(spark, [(3, None), (1, "a b"), (2, "A  b")]) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]

@@ -25,6 +25,16 @@ def test_stages(spark, sf_dir):
     assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in held.collect())
 
 
+def test_near_copies_at_80(spark, sf_dir):
+    words = [f"w{i}" for i in range(104)]
+    near = words[:50] + ["x", "y"] + words[52:]  # 94 of 106 shingles
+    near2 = words[:30] + ["x"] + words[31:70] + ["y"] + words[71:]  # 90 of 110: 0.818
+    far = words[:20] + ["x"] + words[21:50] + ["y"] + words[51:80] + ["z"] + words[81:]  # 85 of 115: 0.739
+    rows = [(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in enumerate((words, near, near2, far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.drop_near_copies(spark, docs, sf_dir).collect()) == [0, 3]
+
+
 def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in P.STAGES:
