@@ -1,5 +1,7 @@
 """Public licence texts, names and notice templates, in plain order."""
 
+from pathlib import Path
+
 #: Ways to name a licence in one line.
 TEMPLATES = [
     "{}", "The {}", "Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "Distributed under the {}.", "Available under the {}.",
@@ -58,3 +60,17 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 #: Titles that may stand before a text.
 TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
+
+#: SPDX id: whole text with its title, as published; the long ones are files. One edition each.
+FILES = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_files").glob("*.txt"))}
+#: Ids of NAMES that are known by notices alone, as their whole texts are missing here.
+NOTICES_ONLY = sorted(NAMES.keys() - LICENCES.keys() - FILES.keys())
+
+
+def editions(text: str) -> list[str]:
+    """A text as published, without what follows its terms or a title of one line, and each with a line for every paragraph."""
+    end = text.find("END OF TERMS AND CONDITIONS")
+    cut = [text] + ([text[:end] + "END OF TERMS AND CONDITIONS", text[:end]] if end >= 0 else [])
+    if text.startswith(("Boost", "Eclipse")):  # a title of one line
+        cut.append(text.partition("\n")[2])
+    return cut + ["\n\n".join(" ".join(part.split()) for part in x.split("\n\n")) for x in cut]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .licence_texts import LICENCES, NAMES, TEMPLATES, TITLES
+from .licence_texts import FILES, LICENCES, NAMES, TEMPLATES, TITLES, editions
 
 #: Equivalent spellings, in the order they are applied, between single spaces.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("https", "http"), ("v 2 0", "version 2 0"), ("v2 0", "version 2 0"), ("v3", "version 3"), ("v2", "version 2")]
@@ -39,6 +39,7 @@ def canonical_text(text: str) -> str:
 def known() -> list[tuple[str, str]]:
     """(digest, licence): full texts, and notices made from templates and names. A constant, whatever the corpus."""
     texts = [(x, spdx) for spdx, text in LICENCES.items() for x in (text, f"{TITLES[spdx]}\n\n{text}")]
+    texts += [(x, spdx) for spdx, text in FILES.items() for x in editions(text)]
     for spdx, names in NAMES.items():
         texts += [(t.format(name), spdx) for name in names for t in TEMPLATES] + [(f"SPDX-License-Identifier: {spdx}", spdx)]
     out = {}

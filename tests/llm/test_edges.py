@@ -1,6 +1,6 @@
 """Nulls, empty texts and tables, ties, repeated rows and clashing columns for line dedup, licences and mixing."""
 
-from spendloom.llm.licence_texts import LICENCES, NAMES, TEMPLATES, TITLES
+from spendloom.llm.licence_texts import FILES, LICENCES, NAMES, NOTICES_ONLY, TEMPLATES, TITLES
 from spendloom.llm.licences import scan_licences
 from spendloom.llm.line_dedup import deduplicate_lines
 from spendloom.llm.mixing import mix, mixture
@@ -52,6 +52,16 @@ def test_every_known_notice(spark):
     assert [x for i, x in enumerate(texts) if got[i] != [texts[x]]] == []
 
 
+def test_whole_texts(spark):
+    assert FILES.keys() | LICENCES.keys() | set(NOTICES_ONLY) == NAMES.keys() and not FILES.keys() & LICENCES.keys()
+    assert NOTICES_ONLY == ["AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0"]
+    whole = sorted(FILES.items()) + [(x, "\n\n".join(" ".join(p.split()) for p in t.split("\n\n"))) for x, t in sorted(FILES.items())]
+    whole += [("Apache-2.0", FILES["Apache-2.0"].partition("   APPENDIX")[0].upper()), ("GPL-3.0", FILES["GPL-3.0"].partition("How to Apply")[0])]
+    got = {r.doc_id: r.licence for r in scan_licences(table(spark, [(i, t, "a") for i, (_, t) in enumerate(whole)])).collect()}
+    assert [got[i] for i in range(len(whole))] == [x for x, _ in whole]
+    assert scan_licences(table(spark, [(1, FILES["GPL-3.0"] + "and more", "a")])).first().licence is None
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7), "abc"[i % 3] if i % 11 else None) for i in range(200)] + [(None, "x y", "a"), (500, None, "a"), (501, "", "only_empty"), (7, "w " * 7, "a"), (7, "w " * 7, "a"), (600, "z " * 50_000, "b")]
     docs = table(spark, rows)
