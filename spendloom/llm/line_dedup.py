@@ -1,101 +1,161 @@
-"""Substring dedup by line hashing: the earliest ranked occurrence of a line stays, the others go."""
+"""Substring dedup by line hashing: the earliest ranked occurrence of a passage stays, the later ones go.
+
+A unit is a part of a line up to a punctuation mark. Whatever its length, a unit
+is hashed with its neighbours: for every unit, the shortest run of units that
+starts there and the shortest that ends there with MIN_WORDS words. A run whose
+digest has an earlier occurrence goes. So a passage goes where all of it stands
+elsewhere in one piece, however its lines are set, and a short phrase that
+recurs by chance stays.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import re
 import string
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored, table
+from .common import slices, small_batches, table
 
-#: Lines of fewer words stay wherever they are: short phrases recur by chance.
-MIN_WORDS = 8
-#: Parts that the lines of one digest are dealt over.
-SALTS = 64
+#: Words of a run: shorter passages stay wherever they are.
+MIN_WORDS = 40
+#: Digests that a task remembers before it passes them on.
+MEMO = 200_000
+UNIT = re.compile(r"[^.,;:!?\n]+[.,;:!?\n]*|[.,;:!?\n]+")
 _DROP = str.maketrans("", "", string.punctuation)
-
-
-_SPACE = {9: 32, 11: 32, 12: 32, 13: 32}
-
-
-def normalise(line: str) -> list[str]:
-    """The words of a line: ASCII punctuation dropped, lower case, split at space and \\x09-\\x0D."""
-    return [w for w in line.translate(_DROP).lower().translate(_SPACE).split(" ") if w]
-
-
-def line_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, pos, start, end, hi, lo) of every line with min_words words. hi and lo: its 128-bit digest."""
+_SPACE = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
+
+
+def normalise(unit: str) -> list[str]:
+    """The words of a unit: ASCII punctuation dropped, lower case, split at space and \\x09-\\x0D."""
+    return [w for w in unit.translate(_DROP).lower().translate(_SPACE).split(" ") if w]
+
+
+def runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
+    """(digest, start, end) of each run, in code points. Units without words are in no run of their own."""
+    starts, ends, norms, upto = [], [], [], [0]
+    for m in UNIT.finditer(text):
+        if words := normalise(m.group()):
+            starts.append(m.start())
+            ends.append(m.end())
+            norms.append(" ".join(words))
+            upto.append(upto[-1] + len(words))
+    spans, n = set(), len(norms)
+    j = 0
+    for i in range(n):
+        while j < n and upto[j + 1] - upto[i] < min_words:
+            j += 1
+        if j == n:
+            break
+        spans.add((i, j))
+    i = 0
+    for j in range(n):
+        while upto[j + 1] - upto[i + 1] >= min_words:
+            i += 1
+        if upto[j + 1] - upto[i] >= min_words:
+            spans.add((i, j))
+    for i, j in sorted(spans):
+        yield hashlib.blake2b(" ".join(norms[i : j + 1]).encode("utf-8", "surrogatepass"), digest_size=16).digest(), starts[i], ends[j]
+
+
+_OUT = ["hi", "lo", "none", "doc_id", "row", "start", "end"]
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, row, start, end) of the runs that an earlier one repeats: by (doc_id, row, start), null ids last. row: the text's hash.
+
+    A task keeps the earliest run of each digest that it has met; the later of
+    two is a repeat and leaves at once (without a digest). What it keeps is then
+    ranked by digest, so a digest brings one row for each task and MEMO digests,
+    however many documents hold it, and runs are shuffled once.
+    """
     small_batches(docs.sparkSession)
-    kinds = [pa.int64()] * 7
-    names = ["doc_id", "row", "pos", "start", "end", "hi", "lo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, tuple] = {}
+
+        def batch(found: list[tuple], digests: list[bytes] | None) -> pa.RecordBatch:
+            cols = list(zip(*found)) if found else [()] * 5
+            halves = [pa.nulls(len(found), pa.int64())] * 2
+            if digests is not None:
+                halves = [pa.array([int.from_bytes(d[at : at + 8], "big", signed=True) for d in digests], pa.int64()) for at in (0, 8)]
+            kinds = [pa.bool_(), *[pa.int64()] * 4]
+            return pa.record_batch([*halves, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=_OUT)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            found, digests = list(memo.values()), list(memo)
+            memo.clear()
+            for at in range(0, len(found), 20_000):
+                yield batch([(r[0], None if r[0] else r[1], *r[2:]) for r in found[at : at + 20_000]], digests[at : at + 20_000])
+
         for b in batches:
             for rows in slices(b, 2):
-                out: list[list] = [[] for _ in names]
+                late = []
                 for doc, row, text in zip(*(rows.column(i).to_pylist() for i in range(3))):
-                    at = 0
-                    for pos, line in enumerate((text or "").split("\n")):
-                        words = normalise(line)
-                        if len(words) >= min_words:
-                            h = hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
-                            for c, v in zip(out, (doc, row, pos, at, at + len(line), int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True))):
-                                c.append(v)
-                        at += len(line) + 1
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                    for digest, start, end in runs(text or "", min_words):
+                        mine = (doc is None, doc or 0, row, start, end)
+                        held = memo.get(digest)
+                        if held is None:
+                            memo[digest] = mine
+                        elif held != mine:
+                            memo[digest] = min(held, mine)
+                            late.append(max(held, mine))
+                if late:
+                    yield batch([(r[0], None if r[0] else r[1], *r[2:]) for r in late], None)
+                if len(memo) >= MEMO:
+                    yield from flushed()
+        yield from flushed()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    found = rows.mapInArrow(run, ", ".join(f"{n} {'boolean' if n == 'none' else 'long'}" for n in _OUT))
+    # Repeats have no digest: they are dealt by their place and rank behind a zero.
+    by = Window.partitionBy("hi", "lo", F.when(F.col("hi").isNull(), F.xxhash64("doc_id", "row", "start"))).orderBy("none", "doc_id", "row", "start")
+    return found.withColumn("nth", F.rank().over(by)).where("nth > 1 or hi is null").select("doc_id", "row", "start", "end")
 
 
-def repeated_lines(units: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The units that an earlier one repeats: by (doc_id, row, start), null ids last.
-
-    A digest that many lines share is dealt over salts parts. Each part is summed
-    to its first and last unit before the shuffle; the parts of a digest (salts
-    at most) give its first unit, which goes back to just the parts that exist.
-    So no task gets more than one part of a digest, and the table joined back
-    never has more rows than units.
-    """
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    units = units.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(salts)).cast("int")).withColumn("rank", rank)
-    parts = units.groupBy("hi", "lo", "part").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-    first = parts.groupBy("hi", "lo").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.collect_list("part").alias("parts"))
-    first = first.where(F.col("first") < F.col("last")).select("hi", "lo", F.explode("parts").alias("part"), "first")
-    return units.join(first, ["hi", "lo", "part"]).where(F.col("rank") > F.col("first")).drop("rank", "first", "hi", "lo", "part")
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text without the repeated lines, n_removed, removed (code points in the original, start:end, comma-joined).
+    """doc_id, text without the repeated passages, n_removed, removed (code points in the original, start:end, comma-joined).
 
-    Nulls: a null text stays null and has no lines; a null doc_id ranks last.
+    Nulls: a null text stays null and has no units; a null doc_id ranks last.
     Rows that repeat with the same doc_id and text are one document, so what one
     keeps the other keeps. Ties: earlier doc_id, then the text's hash, then the
-    earlier line. Empty table: no rows. Other columns are ignored.
+    earlier place; a passage that recurs within a document goes there too. Empty
+    table: no rows. Other columns are ignored.
     """
-    gone = repeated_lines(stored(line_units(docs, min_words), "lines"))
-    gone = gone.distinct().groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("gone"))
+    gone = repeated_runs(docs, min_words).groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone"))
     gone = gone.withColumnsRenamed({"doc_id": "d", "row": "r"})
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
-    rows = rows.select("doc_id", "text", F.coalesce(F.transform("gone", lambda g: g["pos"]), F.array().cast("array<long>")).alias("pos"), F.array_join(F.transform("gone", lambda g: F.concat_ws(":", g["start"], g["end"])), ",").alias("removed"))
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for text, pos in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if pos:
-                    drop = set(pos)
-                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
+            texts, counts, told = [], [], []
+            for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                spans = merged([(g["start"], g["end"]) for g in gone or ()])
+                if spans:
+                    edges = [0, *(x for s in spans for x in s), len(text)]
+                    text = "".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
                 texts.append(text)
-            yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array([len(p) for p in b.column(2).to_pylist()], pa.int64()), b.column(3)], names=["doc_id", "text", "n_removed", "removed"])
+                counts.append(len(spans))
+                told.append(",".join(f"{s}:{e}" for s, e in spans))
+            yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(told, pa.string())], names=["doc_id", "text", "n_removed", "removed"])
 
-    done = rows.mapInArrow(run, "doc_id long, text string, n_removed long, removed string")
-    return done.withColumn("removed", F.coalesce("removed", F.lit("")))
+    return rows.mapInArrow(run, "doc_id long, text string, n_removed long, removed string")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,19 +166,39 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Assumes that doc_ids don't repeat, as in the tables.
 OP6_SQL = r"""
 WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
+  SELECT doc_id, regexp_extract_all(text, '[^.,;:!?\n]+[.,;:!?\n]*|[.,;:!?\n]+') AS units FROM documents
+), p AS (
+  SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS pos FROM l
 ), o AS (
-  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    trim(regexp_replace(lower(regexp_replace(line, '[!-/:-@\[-`{-~]', '', 'g')), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS norm FROM l
-), u AS (
-  SELECT doc_id, pos, start, start + length(line) AS stop, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) AS nth FROM o
-  WHERE norm <> '' AND len(string_split(norm, ' ')) >= 8
-), g AS (
-  SELECT doc_id, count(*) AS n_removed, string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS removed FROM u WHERE nth > 1 GROUP BY doc_id
+  SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    trim(regexp_replace(lower(regexp_replace(unit, '[!-/:-@\[-`{-~]', '', 'g')), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS norm FROM p
+), n AS (
+  SELECT doc_id, start, start + length(unit) AS stop, norm, len(string_split(norm, ' ')) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM o WHERE norm <> ''
+), c AS (
+  SELECT *, CAST(sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto, CAST(sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - k AS before FROM n
+), w AS (
+  SELECT a.doc_id, a.i, b.i AS j FROM c a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.before + 40 <= b.upto
+  UNION SELECT a.doc_id, b.i, a.i FROM c a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.upto - 40 >= b.before
+), t AS (
+  SELECT w.doc_id, w.i, w.j, string_agg(c.norm, ' ' ORDER BY c.i) AS run, min(start) AS start, max(stop) AS stop
+  FROM w JOIN c ON w.doc_id = c.doc_id AND c.i BETWEEN w.i AND w.j GROUP BY w.doc_id, w.i, w.j
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS nth FROM t
+), e AS (
+  SELECT DISTINCT doc_id, start, stop FROM r WHERE nth > 1
+), f AS (
+  SELECT *, coalesce(start > max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM e
+), h AS (
+  SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS island FROM f
+), m AS (
+  SELECT doc_id, island, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop FROM h GROUP BY doc_id, island
+), q AS (
+  SELECT m.*, d.text, coalesce(lag(stop) OVER (PARTITION BY m.doc_id ORDER BY start), 0) AS since FROM m JOIN documents d ON m.doc_id = d.doc_id
 ), k AS (
-  SELECT o.doc_id, string_agg(o.line, chr(10) ORDER BY o.pos) AS text FROM o LEFT JOIN (SELECT * FROM u WHERE nth > 1) u ON o.doc_id = u.doc_id AND o.pos = u.pos WHERE u.pos IS NULL GROUP BY o.doc_id
+  SELECT doc_id, count(*) AS n_removed, string_agg(CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY start) AS removed,
+    string_agg(substr(text, since + 1, start - since), '' ORDER BY start) || substr(any_value(text), max(stop) + 1) AS kept FROM q GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(coalesce(g.n_removed, 0) AS BIGINT) AS n_removed, coalesce(g.removed, '') AS removed,
-  CAST(coalesce(length(k.text), 0) AS BIGINT) AS kept_chars, md5(coalesce(k.text, '')) AS kept_md5
-FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed,
+  CAST(length(coalesce(k.kept, d.text, '')) AS BIGINT) AS kept_chars, md5(coalesce(k.kept, d.text, '')) AS kept_md5
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """

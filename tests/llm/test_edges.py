@@ -2,7 +2,7 @@
 
 from spendloom.llm.licence_texts import FILES, LICENCES, NAMES, NOTICES_ONLY, TEMPLATES, TITLES
 from spendloom.llm.licences import scan_licences
-from spendloom.llm.line_dedup import deduplicate_lines
+from spendloom.llm.line_dedup import UNIT, deduplicate_lines, normalise, runs
 from spendloom.llm.mixing import mix, mixture
 
 SCHEMA = "doc_id long, text string, source string, row long, key long, taken long, notices string, removed string, salt int"
@@ -13,25 +13,51 @@ def table(spark, rows):
 
 
 LINE = "One two three four five six, seven eight nine."
+#: 45 words in five lines.
+PASSAGE = "\n".join(f"{x} " + LINE[4:] for x in ("Alpha", "Beta", "Gamma", "Delta", "Omega"))
 
 
 def test_line_dedup(spark):
     long = "\n".join(f"{i} " + LINE for i in range(20_000))
-    rows = [(2, f"{LINE}\nshort line\n{LINE.upper()}", "a"), (1, f"first\n{LINE}", "a"), (3, None, None), (4, "", "a"), (None, LINE, "b"), (5, long, "c"), (6, long, "c"), (7, "twice " + LINE, "d"), (7, "twice " + LINE, "d")]
+    own = "The one who wrote this has words before"
+    rows = [(2, f"{own}. {PASSAGE.upper()}\nand after.", "a"), (1, f"first\n{PASSAGE}\nlast", "a"), (3, None, None), (4, "", "a"), (None, PASSAGE, "b"), (5, long, "c"), (6, long, "c"), (7, "Twice. " + PASSAGE, "d"), (7, "Twice. " + PASSAGE, "d"), (12, "twice " + PASSAGE, "d")]
+    rows += [(8, LINE * 3, "a"), (9, LINE * 3, "a"), (10, "--\n" + PASSAGE.replace("Gamma", "Edited"), "a"), (11, "x " * 100_000 + ". " + PASSAGE, "a")]
     got = deduplicate_lines(table(spark, rows)).collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
-    n = len(LINE)
-    assert by[1][0].text == f"first\n{LINE}" and by[1][0].removed == ""
-    assert by[2][0].text == "short line" and by[2][0].removed == f"0:{n},{n + 12}:{2 * n + 12}"
+    assert by[1][0].text == f"first\n{PASSAGE}\nlast" and by[1][0].removed == ""
+    at = len(own) + 1
+    assert by[2][0].text == f"{own}.and after." and by[2][0].removed == f"{at}:{at + len(PASSAGE) + 2}"
     assert by[3][0].text is None and by[4][0].text == "" and by[None][0].text == ""
-    assert by[5][0].text == long and by[6][0].n_removed == 20_000 and by[6][0].text == ""
-    assert [r.n_removed for r in by[7]] == [0, 0]
+    assert by[5][0].text == long and by[6][0].n_removed == 1 and by[6][0].text == ""
+    assert [r.n_removed for r in by[7]] == [1, 1] and by[7][0].text == "Twice."
+    assert by[12][0].n_removed == 0  # its first unit differs, and 39 words are left
+    assert by[9][0].text == LINE * 3 and by[10][0].n_removed == 0
+    assert by[11][0].text == "x " * 100_000 + "."
     assert deduplicate_lines(table(spark, rows).limit(0)).count() == 0
 
 
+def test_runs_against_all_pairs():
+    import random
+
+    r = random.Random(3)
+    for _ in range(200):
+        units = [" ".join(r.choice("abc") for _ in range(r.randrange(0, 5))) + r.choice([".", ",", "!", "\n"]) for _ in range(r.randrange(12))]
+        text = "".join(units)
+        words = [(m.start(), m.end(), normalise(m.group())) for m in UNIT.finditer(text)]
+        words = [w for w in words if w[2]]
+        want = set()
+        for i in range(len(words)):
+            for j in range(i, len(words)):
+                n = lambda a, b: sum(len(w[2]) for w in words[a : b + 1])
+                if n(i, j) >= 7 and (n(i, j - 1) < 7 or n(i + 1, j) < 7):
+                    want.add((words[i][0], words[j][1]))
+        assert {(s, e) for _, s, e in runs(text, 7)} == want
+        assert "".join(m.group() for m in UNIT.finditer(text)) == text
+
+
 def test_licences(spark):
     spdx = sorted(LICENCES)[0]
     whole = f"{TITLES[spdx]}\n\n{LICENCES[spdx]}"
