@@ -20,7 +20,7 @@ PASSAGE = "\n".join(f"{x} " + LINE[4:] for x in ("Alpha", "Beta", "Gamma", "Delt
 def test_line_dedup(spark):
     long = "\n".join(f"{i} " + LINE for i in range(20_000))
     own = "The one who wrote this has words before"
-    rows = [(2, f"{own}. {PASSAGE.upper()}\nand after.", "a"), (1, f"first\n{PASSAGE}\nlast", "a"), (3, None, None), (4, "", "a"), (None, PASSAGE, "b"), (5, long, "c"), (6, long, "c"), (7, "Twice. " + PASSAGE, "d"), (7, "Twice. " + PASSAGE, "d"), (12, "twice " + PASSAGE, "d")]
+    rows = [(2, f"{own}. {PASSAGE.upper()}\nand after.", "a"), (1, f"first\n{PASSAGE}\nlast", "a"), (3, None, None), (4, "", "a"), (None, PASSAGE, "b"), (5, long, "c"), (6, long, "c"), (7, "Twice. " + PASSAGE, "d"), (7, "Twice. " + PASSAGE, "d"), (12, "other " + PASSAGE, "d")]
     rows += [(8, LINE * 3, "a"), (9, LINE * 3, "a"), (10, "--\n" + PASSAGE.replace("Gamma", "Edited"), "a"), (11, "x " * 100_000 + ". " + PASSAGE, "a")]
     got = deduplicate_lines(table(spark, rows)).collect()
     assert len(got) == len(rows)
