@@ -48,6 +48,14 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small, as one row may hold a very long text, and lets Python workers find this package."""
     root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -73,3 +73,61 @@ def test_redaction(spark, model):
     got = pii.redact(docs, model)
     assert got.columns == docs.columns and [r.text for r in sorted(got.collect())] == list(texts.values())
     assert pii.redact(docs.where("false"), model).collect() == []
+
+
+def test_long_texts(spark, model):
+    """Texts of 1 MB: many spans, one endless address, digits without end."""
+    many = "write to ab.cd@ef.gh or token = 'ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e', " * 13_000
+    texts = {"many": many, "address": "a@" + "b." * 500_000 + "b", "digits": "1234567890 " * 90_000, "dots": "1." * 500_000, "letters": "x" * 1_000_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: r for r in pii.find_pii(docs, model).selectExpr("doc_id", "size(base) as b", "size(spans) as s", "try_element_at(base, -1).end as last").collect()}
+    assert got["many"].b == 13_000 and got["many"].s == 26_000 and got["many"].last == len(many) - len(" or token = 'ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e', ")
+    assert got["address"].b == 1 and got["address"].last == 1_000_003
+    clean = pii.redact(docs.where("doc_id in ('many', 'address')"), model).collect()
+    assert {r.doc_id: r.text for r in clean} == {"many": "write to [EMAIL] or token = '[SECRET]', " * 13_000, "address": "[EMAIL]"}
+
+
+def test_tree_expression(spark, model):
+    """The trees as an expression against the trees in numpy."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    x = [[rnd.randrange(5), *(rnd.choice([0, 1, 2, 8, 16, 40]) for _ in pii.FEATURES[1:])] for _ in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "i long, " + ", ".join(f"{f} int" for f in pii.FEATURES))
+    got = [r.m for r in df.select("i", model.trees.column(F.struct(*pii.FEATURES)).alias("m")).sort("i").collect()]
+    assert np.allclose(got, model.trees.margin(np.array(x)), atol=1e-9)
+
+
+def test_apart_and_joined(spark):
+    """Against all pairs, on made-up spans."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(8)
+
+    def spans(n, most):
+        out = []
+        for _ in range(n):
+            s = rnd.randrange(most)
+            out.append((s, rnd.randrange(4), s + rnd.randrange(1, 9), rnd.choice([0.5, 0.75])))
+        return sorted(out)
+
+    rows = [(i, spans(rnd.randrange(7), 40), spans(rnd.randrange(12), 40)) for i in range(300)]
+    kind = "array<struct<start:int,kind:int,end:int,p:double>>"
+    df = spark.createDataFrame(rows, f"i int, base {kind}, found {kind}")
+    got = {r.i: r for r in df.select("i", pii.apart(F.col("found"), F.col("base")).alias("a"), pii.joined(F.col("found")).alias("j")).collect()}
+    for i, base, found in rows:
+        assert [tuple(x) for x in got[i].a] == [c for c in found if not any(c[0] < b[2] and b[0] < c[2] for b in base)]
+        groups = []
+        for c in found:
+            if groups and c[0] < max(x[2] for x in groups[-1]):
+                groups[-1].append(c)
+            else:
+                groups.append([c])
+        assert [tuple(x) for x in got[i].j or []] == [(g[0][0], min(g, key=lambda x: (-x[3], x[1]))[1], max(x[2] for x in g)) for g in groups]
+
+
+def test_redaction_keeps_clashing_columns(spark, model):
+    docs = spark.createDataFrame([(1, "to a@b.com", 1, 2, 3, 4)], "doc_id long, text string, base int, spans int, found int, _found int")
+    assert [tuple(r) for r in pii.redact(docs, model).collect()] == [(1, "to [EMAIL]", 1, 2, 3, 4)]
+    assert pii.find_pii(docs, model).first()["found"] == 3
