@@ -1,10 +1,12 @@
 """FLAC for byte payloads: 8-bit mono frames with fixed predictors and Rice residuals, written and read in numpy.
 
-All frames of a batch are coded side by side: one numpy step handles the i-th
-sample of every frame. A seek table names every frame's first sample and byte
-offset, so frames of one stream are decoded independently. The reader takes
-constant, verbatim, fixed and LPC subframes with any Rice partitioning and checks
-CRC-8 of each header, CRC-16 of each frame and the MD5 of the samples.
+All frames of a chunk are coded side by side: one numpy step handles the i-th
+sample of every frame. A seek table names first samples and byte offsets, so
+frames of one stream are decoded independently. The reader takes constant,
+verbatim, fixed and LPC subframes with any Rice partitioning and checks CRC-8 of
+each header, CRC-16 of each frame and the MD5 of the samples. A task stores its
+streams in chunk files, reads each back and writes the decoded samples as PCM
+blocks with a table of their sample and byte offsets.
 """
 
 from __future__ import annotations
@@ -16,14 +18,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table
+from .common import new_folder, slices, small_batches, table
 
 BLOCK = 4096
 RATE = 8000
 ALIGN = 64
+#: Rice partitions of a whole frame.
+PARTITIONS = 8
+#: Bytes of streams in a chunk file, before the next one is begun.
+CHUNK = 8 << 20
+#: Frames decoded side by side.
+FRAMES = 4096
+#: Most bytes of a seek table; beyond, its points are several frames apart.
+TABLE = (1 << 24) - 1
 #: A frame is stored verbatim if Rice codes would take this many times its bits.
 SLACK = 1.05
 #: Residual of the fixed predictors of order 0 to 4: e = sum of c[j] * s[i-j].
@@ -111,24 +123,36 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     number = np.arange(first[-1]) - np.repeat(first[:-1], frames_of)
     starts = np.repeat(base, frames_of) + number * block
     n = np.minimum(block, np.repeat(base + sizes, frames_of) - starts)
-    # Rice cost of each predictor order, estimated from the mean; verbatim where all are longer by SLACK.
-    best, order, k = n * 8.0 * SLACK, np.full(len(n), -1), np.zeros(len(n), np.int64)
+    nth = np.arange(len(x)) - np.repeat(starts, n)
+    parts = np.where((n == block) & (block % PARTITIONS == 0) & (block // PARTITIONS > 4), PARTITIONS, 1)
+    part_first = np.cumsum(parts) - parts
+    frame_of = np.repeat(np.arange(len(n)), parts)
+    nth_part = np.arange(len(frame_of)) - part_first[frame_of]
+    part_n = (n // parts)[frame_of]
+    part_start = starts[frame_of] + nth_part * part_n
+    # Rice cost of each predictor order, estimated from the partitions' means; verbatim where all are longer by SLACK.
+    best, order, k = n * 8.0 * SLACK, np.full(len(n), -1), np.zeros(len(frame_of), np.int64)
     residuals = {}
-    for o in (0, 1, 2):
+    for o in range(len(FIXED)):
         e = _fixed(x, starts, o)
-        residuals[o] = ((e << 1) ^ (e >> 31)).astype(np.int64)
-        mean = np.add.reduceat(residuals[o], starts) / n
-        rice = np.clip(np.floor(np.log2(np.maximum(mean, 1) * 0.72)), 0, 14).astype(np.int64)
-        bits = n * (rice + 1) + np.ceil(n * mean / (1 << rice)) + 8 * o + 10
+        residuals[o] = (e << 1) ^ (e >> 31)
+        residuals[o][np.flatnonzero(nth < o)] = 0  # warm-up samples, whose residuals reach into the frame before
+        total = np.add.reduceat(residuals[o], part_start, dtype=np.int64)
+        rice = np.clip(np.floor(np.log2(np.maximum(total / part_n, 1) * 0.72)), 0, 14).astype(np.int64)
+        bits = np.add.reduceat(part_n * (rice + 1) + (total >> rice) + 5, part_first) + 8 * o + 6
         fits = (n > o) & (bits < best)
-        best, order, k = np.where(fits, bits, best), np.where(fits, o, order), np.where(fits, rice, k)
+        best, order, k = np.where(fits, bits, best), np.where(fits, o, order), np.where(fits[frame_of], rice, k)
     owner = np.repeat(np.arange(len(n)), n)
-    nth = np.arange(len(x)) - np.repeat(starts, n)
-    o_of, k_of = order[owner], k[owner]
-    u = np.select([o_of == o for o in residuals], list(residuals.values()), 0)
+    o_of, k_of = order[owner], np.repeat(k, part_n)
+    u = residuals[0].astype(np.int64)
+    for o in range(1, len(FIXED)):
+        if (order == o).any():
+            u = np.where(o_of == o, residuals[o], u)
     plain = nth < np.maximum(o_of, 0)
     quotient = u >> k_of
     width = np.where((o_of < 0) | plain, 8, quotient + 1 + k_of)
+    later = np.flatnonzero((nth_part > 0) & (order[frame_of] >= 0))  # partitions whose parameter comes among the samples
+    width[part_start[later]] += 4
     cum = np.cumsum(width)
     body = np.add.reduceat(width, starts)
     tail = np.where(order >= 0, 2 + 4 + 4, 0)  # coding method, partition order and one parameter, after the warm-up
@@ -145,9 +169,14 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
         bits[origin + 1 + j] = code >> (5 - j) & 1
     riced = np.flatnonzero(order >= 0)
     warm = origin[riced] + 8 + 8 * order[riced]
+    halvings = np.log2(parts[riced]).astype(np.int64)
     for j in range(4):
-        bits[warm + 6 + j] = k[riced] >> (3 - j) & 1
+        bits[warm + 2 + j] = halvings >> (3 - j) & 1
+        bits[warm + 6 + j] = k[part_first[riced]] >> (3 - j) & 1
     pos = origin[owner] + 8 + (cum - width) - np.repeat((cum - width)[starts], n) + np.where(plain, 0, tail[owner])
+    for j in range(4):
+        bits[pos[part_start[later]] + j] = k[later] >> (3 - j) & 1
+    pos[part_start[later]] += 4
     eight = np.flatnonzero((o_of < 0) | plain)
     for j in range(8):
         bits[pos[eight] + j] = x[eight] >> (7 - j) & 1
@@ -173,12 +202,9 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
         pcm = (data[base[i] : base[i] + sizes[i]] ^ 128).tobytes()
         info = struct.pack(">HH", block, block) + int(lengths.min()).to_bytes(3, "big") + int(lengths.max()).to_bytes(3, "big")
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(pcm).digest()
-        table = b"".join(struct.pack(">QQH", int(number[f]) * block, int(at[f] - at[lo]), int(n[f])) for f in range(lo, hi))
-        head = b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info
-        if len(table) < 1 << 24:
-            head += b"\x83" + len(table).to_bytes(3, "big") + table
-        else:  # no room for a seek table: its block is left out, and the reader walks the frames
-            head = b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info
+        apart = -(-(hi - lo) * 18 // TABLE)
+        table = b"".join(struct.pack(">QQH", int(number[f]) * block, int(at[f] - at[lo]), int(n[f])) for f in range(lo, hi, apart))
+        head = b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table
         out.append(head + packed[at[lo] : ends[hi - 1]].tobytes())
     return out
 
@@ -193,7 +219,7 @@ class BadStream(ValueError):
 
 
 def _parse(stream: bytes):
-    """(samples, md5, [(first sample, offset)] or [], offset of the first frame, block size)"""
+    """(samples, md5, [(first sample, offset)] or [], offset of the first frame, most bytes of a frame)"""
     if stream[:4] != b"fLaC":
         raise BadStream("no FLAC marker")
     at, points, info = 4, [], None
@@ -203,14 +229,25 @@ def _parse(stream: bytes):
         if kind & 127 == 0:
             info = body
         elif kind & 127 == 3:
-            points = [struct.unpack_from(">QQH", body, i) for i in range(0, size, 18)]
+            points = [p for i in range(0, size, 18) if (p := struct.unpack_from(">QQH", body, i))[0] < (1 << 64) - 1]
         at += 4 + size
         if kind & 128:
             break
     packed = int.from_bytes(info[10:18], "big")
     if packed >> 36 & 31 != 7 or packed >> 41 & 7:
         raise BadStream("not 8-bit mono")
-    return packed & (1 << 36) - 1, info[18:34], points, at, struct.unpack(">H", info[:2])[0]
+    return packed & (1 << 36) - 1, info[18:34], points, at, int.from_bytes(info[7:10], "big")
+
+
+def _walk(stream: bytes, at: int, sample: int, end: int, most: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first sample, samples, offset, offset of the subframe, end) of the frames from a place on, each found by decoding the one before."""
+    while at < end:
+        part = stream[at : at + most] if most else stream[at:end]
+        _, n, body = _frame_header(part, 0)
+        _, stop = decode_frames(part, [body], [n])
+        size = int(stop[0]) + 2
+        yield sample, n, at, at + body, at + size
+        sample, at = sample + n, at + size
 
 
 def _frame_header(data: bytes, at: int) -> tuple[int, int, int]:
@@ -387,25 +424,21 @@ def decode(streams: list[bytes]) -> list[bytes]:
     data, jobs, totals = b"".join(streams), [], []
     base = 0
     for s, stream in enumerate(streams):
-        samples, md5, points, at, _ = _parse(stream)
+        samples, md5, points, at, most = _parse(stream)
         totals.append((samples, md5))
-        if points:
-            offsets = [at + p[1] for p in points]
-            for (sample, _, _), o, e in zip(points, offsets, [*offsets[1:], len(stream)]):
-                _, n, body = _frame_header(stream, o)
+        stops = [at + p[1] for p in points[1:]] + [len(stream)]
+        for (sample, offset, _), ahead, e in zip(points or [(0, 0, 0)], [*(p[0] for p in points[1:]), samples], stops):
+            o = at + offset
+            _, n, body = _frame_header(stream, o)
+            if sample + n >= ahead:
                 jobs.append((s, sample, n, base + o, base + body, base + e))
-        else:
-            sample = 0
-            while at < len(stream):
-                _, n, body = _frame_header(stream, at)
-                _, end = decode_frames(stream, [body], [n])
-                jobs.append((s, sample, n, base + at, base + body, base + int(end[0]) + 2))
-                sample, at = sample + n, int(end[0]) + 2
+            else:  # points several frames apart, or none
+                jobs += [(s, first, m, base + x, base + y, base + z) for first, m, x, y, z in _walk(stream, o, sample, e, most)]
         base += len(stream)
     raw = np.frombuffer(data, np.uint8)
     blocks: list[list[bytes]] = [[] for _ in streams]
-    for lo in range(0, len(jobs), 2048):
-        part = jobs[lo : lo + 2048]
+    for lo in range(0, len(jobs), FRAMES):
+        part = jobs[lo : lo + FRAMES]
         floor, top = min(j[3] for j in part), max(j[5] for j in part)
         x, ends = decode_frames(data[floor:top], [j[4] - floor for j in part], [j[2] for j in part])
         stops = np.array([j[5] for j in part])
@@ -427,12 +460,16 @@ def decode(streams: list[bytes]) -> list[bytes]:
 
 
 def seek(stream: bytes, sample: int) -> tuple[int, bytes]:
-    """(first sample, payload bytes) of the block that holds a sample; only that frame is decoded."""
-    _, _, points, at, _ = _parse(stream)
-    point = max((p for p in points if p[0] <= sample), key=lambda p: p[0])
-    _, n, body = _frame_header(stream, at + point[1])
-    x, _ = decode_frames(stream, [body], [n])
-    return point[0], (x[0, :n].astype(np.int8).view(np.uint8) ^ 128).tobytes()
+    """(first sample, payload bytes) of the block that holds a sample. Only that frame is decoded, and those between it and the point before it."""
+    samples, _, points, at, most = _parse(stream)
+    if not 0 <= sample < samples:
+        raise IndexError(sample)
+    first, offset, _ = max((p for p in points if p[0] <= sample), default=(0, 0, 0))
+    for first, n, o, body, end in _walk(stream, at + offset, first, len(stream), most):
+        if sample < first + n:
+            x, _ = decode_frames(stream[o:end], [body - o], [n])
+            return first, (x[0, :n].astype(np.int8).view(np.uint8) ^ 128).tobytes()
+    raise BadStream("fewer samples than stated")
 
 
 def feature(payload: bytes, block: int = BLOCK) -> str:
@@ -447,31 +484,99 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * ((max(1, -(-len(raw) // ALIGN)) * ALIGN) - len(raw))
 
 
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
-
-
-def flac_media(docs: DataFrame) -> DataFrame:
-    """Each text as a FLAC stream (media) with what is computed from the stream's decoded samples.
+MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, file string, media_offset long, pcm_offset long"
+BLOCKS = pa.schema([("doc_id", pa.int64()), ("stream", pa.int64()), ("first_sample", pa.int64()), ("samples", pa.int64()), ("offset", pa.int64())])
+
+
+class _Chunk:
+    """A file of streams that a task writes, closes, reads back and decodes."""
+
+    def __init__(self, uri: str):
+        self.uri, (self.fs, self.path) = uri, pafs.FileSystem.from_uri(uri)
+        self.out = self.fs.open_output_stream(self.path + ".flac")
+        self.bytes, self.ids, self.sizes, self.lengths = 0, [], [], []
+
+    def add(self, ids: list, sizes: list[int], media: list[bytes]) -> None:
+        self.out.write(b"".join(media))
+        self.ids += ids
+        self.sizes += sizes
+        self.lengths += map(len, media)
+        self.bytes += sum(map(len, media))
+
+    def read_back(self, keep: bool) -> pa.RecordBatch:
+        """The rows of the chunk from its stored bytes; the PCM blocks and their table are written beside it."""
+        self.out.close()
+        with self.fs.open_input_file(self.path + ".flac") as f:
+            data = f.read()
+        ends = np.cumsum(self.lengths)
+        at = ends - self.lengths
+        media = [data[x:y] for x, y in zip(at.tolist(), ends.tolist())]
+        back = decode(media)
+        pcm_at = np.cumsum([0, *map(len, back)])
+        with self.fs.open_output_stream(self.path + ".pcm") as f:
+            f.write((np.frombuffer(b"".join(back), np.uint8) ^ 128).tobytes())
+        counts = np.array([-(-len(p) // BLOCK) for p in back])
+        owner = np.repeat(np.arange(len(back)), counts)
+        first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * BLOCK
+        samples = np.minimum(BLOCK, np.array([len(p) for p in back])[owner] - first)
+        with self.fs.open_output_stream(self.path + ".blocks") as f, pa.ipc.new_stream(f, BLOCKS) as table:
+            table.write_batch(pa.record_batch([pa.array(self.ids, pa.int64()).take(pa.array(owner)), pa.array(owner), pa.array(first), pa.array(samples), pa.array(pcm_at[owner] + first)], schema=BLOCKS))
+        if not keep:
+            for kind in (".flac", ".pcm", ".blocks"):
+                self.fs.delete_file(self.path + kind)
+        cols = [self.ids, self.sizes, [len(p) for p in back], [hashlib.sha256(p).hexdigest() for p in back], [zlib.crc32(p[-ALIGN:]) for p in back], self.lengths, [hashlib.sha256(m).hexdigest() for m in media], [feature(p) for p in back], [self.uri if keep else None] * len(back), at.tolist(), pcm_at[:-1].tolist()]
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in MEDIA.split(", ")]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in MEDIA.split(", ")])
+
+
+def read_block(uri: str, stream: int, sample: int) -> tuple[int, bytes]:
+    """(first sample, PCM bytes) of the block that holds a sample of a chunk's n-th stream: one row of the table and one read at its offset."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path + ".blocks") as f:
+        rows = pa.ipc.open_stream(f).read_all()
+    mine = rows.filter((pa.compute.equal(rows["stream"], stream)))
+    i = int(np.searchsorted(mine["first_sample"].to_numpy(), sample, "right")) - 1
+    first, n, at = (mine[c][i].as_py() for c in ("first_sample", "samples", "offset"))
+    with fs.open_input_file(path + ".pcm") as f:
+        return first, f.read_at(n, at)
+
+
+def flac_media(docs: DataFrame, folder: str, keep: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """Each text as a FLAC stream in a chunk file of the folder, with what is computed from the samples decoded from that file.
+
+    A chunk is NAME.flac (streams one after another, the row's at media_offset),
+    NAME.pcm (the decoded samples, the row's at pcm_offset) and NAME.blocks (an
+    Arrow stream: doc_id, stream, first_sample, samples, offset of each block);
+    file is NAME. Without keep a chunk is deleted once its rows are made, and
+    file is null. A retried task writes files of its own, so only those named in
+    the rows count.
 
     A null text is empty and stored as 64 zero bytes. Equal texts have equal
-    values. Long texts are split in frames, so memory follows a batch of about
-    1 MB or the one longest text. A failed checksum raises BadStream. Repeated
-    rows and null ids are kept. Empty table: no rows. Other columns are ignored.
+    values. Long texts are split in frames, so memory follows a chunk or the one
+    longest text. A failed checksum raises BadStream. Repeated rows and null ids
+    are kept. Empty table: no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, n = TaskContext.get(), None, 0
         for b in batches:
             for rows in slices(b, 1, 2 << 20, 2048):
                 sizes, payloads = zip(*map(padded, rows.column(1).to_pylist()))
-                media = encode(list(payloads))
-                back = decode(media)
-                cols = [rows.column(0), sizes, [len(p) for p in back], [hashlib.sha256(p).hexdigest() for p in back], [zlib.crc32(p[-ALIGN:]) for p in back], [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media], [feature(p) for p in back], media]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in MEDIA.split(", ")])
+                if held is None:
+                    held, n = _Chunk(f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{n:05d}"), n + 1
+                held.add(rows.column(0).to_pylist(), list(sizes), encode(list(payloads)))
+                if held.bytes >= chunk:
+                    yield held.read_back(keep)
+                    held = None
+        if held is not None:
+            yield held.read_back(keep)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MEDIA)
 
 
 def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac_media(table(spark, sf_dir, "documents")).drop("media")
+    out = flac_media(table(spark, sf_dir, "documents"), new_folder(spark, "flac"), keep=False)
+    return out.drop("file", "media_offset", "pcm_offset")

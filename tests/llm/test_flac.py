@@ -116,10 +116,94 @@ def test_query(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
 
 
-def test_edges(spark):
+def test_edges(spark, tmp_path):
     rows = [(None, None, 1), (1, "", 2), (1, "", 2), (2, "é" * 100_000, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, media long")
-    got = flac.flac_media(docs).collect()
+    got = flac.flac_media(docs, f"file://{tmp_path}/kept", chunk=64).collect()
     assert len(got) == 4 and sorted(r.payload_bytes for r in got) == [64, 64, 64, 200_000]
-    assert len({r.media_sha256 for r in got}) == 2 and flac.decode([got[0].media])[0] == bytes(64)
-    assert flac.flac_media(docs.where("false")).collect() == []
+    assert len({r.media_sha256 for r in got}) == 2
+    for r in got:
+        path = r.file.removeprefix("file://")
+        with open(path + ".flac", "rb") as f, open(path + ".pcm", "rb") as g:
+            f.seek(r.media_offset)
+            g.seek(r.pcm_offset)
+            payload = flac.decode([f.read(r.media_bytes)])[0]
+            assert hashlib.sha256(payload).hexdigest() == r.payload_sha256
+            assert bytes(x ^ 128 for x in g.read(r.payload_bytes)) == payload
+    long = next(r for r in got if r.doc_id == 2)
+    first, block = flac.read_block(long.file, 0, 150_000)
+    assert first <= 150_000 < first + len(block) and bytes(x ^ 128 for x in block) == ("é" * 100_000).encode()[first : first + len(block)]
+    assert flac.flac_media(docs.where("false"), f"file://{tmp_path}/none").collect() == []
+    assert sorted(r.media_sha256 for r in flac.flac_media(docs, f"file://{tmp_path}/gone", keep=False).collect()) == sorted(r.media_sha256 for r in got)
+    assert list((tmp_path / "gone").iterdir()) == []
+
+
+def test_sparse_points(monkeypatch):
+    """Points several frames apart, as where a table of all frames would have no room."""
+    p = bytes(random.Random(5).randrange(60, 110) for _ in range(3_000))
+    whole = flac.encode([p], 64)[0]
+    monkeypatch.setattr(flac, "TABLE", 18 * 5)
+    stream = flac.encode([p], 64)[0]
+    assert len(whole) - len(stream) == 18 * (47 - 5) and flac.decode([stream, whole]) == [p, p]
+    for i in range(0, 3_000, 97):
+        first, block = flac.seek(stream, i)
+        assert first <= i < first + 64 and block == p[first : first + 64]
+    with pytest.raises(IndexError):
+        flac.seek(stream, 3_000)
+
+
+def reference_decode(stream):
+    """One bit at a time, after the published format: fixed subframes and verbatim ones."""
+    at = 4
+    while True:
+        last, size = stream[at] & 128, int.from_bytes(stream[at + 1 : at + 4], "big")
+        at += 4 + size
+        if last:
+            break
+    bits, i, out = "".join(format(b, "08b") for b in stream[at:]), 0, []
+
+    def take(n):
+        nonlocal i
+        i += n
+        return int(bits[i - n : i], 2) if n else 0
+
+    signed = lambda n: (v := take(n)) - ((v >> n - 1) << n)
+    while i < len(bits):
+        assert take(16) == 0xFFF8
+        size, _, _ = take(4), take(4), take(8)
+        lead = take(8)
+        while lead & 128 and lead & 64:
+            take(8)
+            lead = lead << 1 & 255
+        n = take(16) + 1 if size == 7 else 4096
+        take(8)
+        assert take(1) == 0
+        kind, _ = take(6), take(1)
+        if kind == 1:
+            x = [signed(8) for _ in range(n)]
+        else:
+            order = kind - 8
+            x = [signed(8) for _ in range(order)]
+            assert take(2) == 0
+            parts = 1 << take(4)
+            for q in range(parts):
+                k = take(4)
+                for _ in range(n // parts - (order if q == 0 else 0)):
+                    run = bits.index("1", i) - i
+                    i += run + 1
+                    u = run << k | take(k)
+                    e = u >> 1 ^ -(u & 1)
+                    x.append(e - sum(c * x[-1 - j] for j, c in enumerate(flac.FIXED[order][1:])))
+        i += -i % 8 + 16
+        out += x
+    return bytes(v + 128 & 255 for v in out)
+
+
+def test_independent_decoder():
+    rnd = random.Random(7)
+    smooth = [int(120 * np.sin(i / 40) * np.sin(i / 900)) + 128 for i in range(9_000)]
+    ps = [bytes(smooth), ("Plain text, for all to read. " * 400).encode(), bytes(rnd.randrange(97, 123) for _ in range(5_000)), b"\0" * 64]
+    for p, stream in zip(ps, flac.encode(ps)):
+        assert reference_decode(stream) == p
+
+
