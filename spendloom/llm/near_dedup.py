@@ -6,7 +6,8 @@ bucket by bucket from a pivot, the member that shares most buckets: all others
 that aren't yet in the pivot's component are compared with it. A bucket whose
 members are all in one component needs no more comparisons, so a group of n
 copies costs about n comparisons and no link between components is lost. What a
-few rounds leave open is compared in blocks.
+few rounds leave open is compared bucket by bucket, in blocks. Rows of one class,
+bucket, pivot or component are dealt over parts, so no task gets a group.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored, table
+from .common import Tables, attach, free_name, slices, small_batches, table, with_groups
 
 WORDS = 5
 #: A link: 100 * intersection >= THRESHOLD * union.
@@ -196,47 +197,50 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    both = pairs.join(sets.withColumnsRenamed({"doc": "b", "shingles": "sb"}), "b").join(sets.withColumnsRenamed({"doc": "a", "shingles": "sa"}), "a").select("a", "b", "sa", "sb")
+    """The pairs (doc, pivot) whose full sets are similar enough."""
+    both = pairs.join(sets, "doc").withColumnRenamed("shingles", "sa")
+    both = attach(both, ["pivot"], sets.withColumnsRenamed({"doc": "pivot", "shingles": "sb"}), ["doc"]).select("doc", "pivot", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [linked(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U), threshold) for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["doc", "pivot"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "doc long, pivot long")
 
 
 def sketch_filter(pairs: DataFrame, sketches: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    x = sketches.withColumnsRenamed({"doc": "a", "sketch": "xa"})
-    y = sketches.withColumnsRenamed({"doc": "b", "sketch": "xb"})
+    """The pairs (doc, pivot) whose sketches differ in few enough bits."""
+    both = pairs.join(sketches.withColumnRenamed("sketch", "xa"), "doc")
+    both = attach(both, ["pivot"], sketches.withColumnsRenamed({"doc": "pivot", "sketch": "xb"}), ["doc"])
     differing = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return pairs.join(x, "a").join(y, "b").where(differing <= most_differing(threshold)).select("a", "b").distinct()
+    return both.where(differing <= most_differing(threshold)).select("doc", "pivot")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each component, by alternating large and small stars on stored tables."""
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """(node, root) of each node that isn't its component's smallest: alternating large and small stars on written tables."""
+    e = tables.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = stored(small, "stars")
+        both = with_groups(e.union(e.select("v", "u")), ["u"], {"m": (F.min, "v")}, ["v"]).withColumn("m", F.least("m", "u"))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = with_groups(large, ["u"], {"m": (F.min, "v")}, ["v"])
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
+        old, e = e, tables.keep(small, "stars")
+        tables.drop(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
-def relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (doc, comp) after joining the components that edges (a, b) of documents link."""
-    at = edges.join(labels.withColumnsRenamed({"doc": "a", "comp": "ca"}), "a").join(labels.withColumnsRenamed({"doc": "b", "comp": "cb"}), "b")
-    roots = components(at.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    out = labels.join(roots, labels["comp"] == roots["node"], "left").select("doc", F.coalesce("root", "comp").alias("comp"))
-    return stored(out, "labels")
+def relabel(labels: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """labels (doc, comp) after joining the components that links (doc, pivot) of documents join."""
+    at = links.join(labels.withColumnRenamed("comp", "a"), "doc")
+    at = attach(at, ["pivot"], labels.withColumnsRenamed({"doc": "pivot", "comp": "b"}), ["doc"])
+    roots = components(at.select("a", "b"), tables)
+    out = attach(labels, ["comp"], roots.withColumnRenamed("node", "comp"), ["doc"], "left")
+    return tables.keep(out.select("doc", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
 def _forest(table: pa.Table, threshold: int) -> pa.Table:
@@ -271,29 +275,27 @@ def _forest(table: pa.Table, threshold: int) -> pa.Table:
             root[p] = q
             out[0].append(max(doc[i], doc[j]))
             out[1].append(min(doc[i], doc[j]))
-    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+    return pa.table({"doc": pa.array(out[0], pa.int64()), "pivot": pa.array(out[1], pa.int64())})
 
 
 def _in_blocks(members: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between components of the members (key, doc, comp): each family of buckets, block against block.
+    """Links (doc, pivot) between components of the members (key, doc, comp): each bucket, block against block.
 
-    A family holds all documents that chains of shared buckets join, each once.
-    A large family is cut by a hash in blocks of bounded rows and bytes, and two
-    blocks at a time meet in one task, so no task holds a family.
+    A large bucket is cut by a hash in blocks of bounded rows and bytes, and two
+    blocks at a time meet in one task, so no task holds a bucket; and chains of
+    buckets that share members don't add up.
     """
-    firsts = members.groupBy("key").agg(F.min("doc").alias("b"))
-    families = components(members.join(firsts, "key").select(F.col("doc").alias("a"), "b"))
-    m = members.select("doc", "comp").distinct().join(families, F.col("doc") == F.col("node"), "left").select("doc", "comp", F.coalesce("root", "doc").alias("family"))
-    m = stored(m.join(sets, "doc"), "families")
-    sizes = m.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum(F.length("shingles")) / SET_BYTES)).cast("long").alias("blocks"))
-    m = m.join(sketches, "doc").join(sizes, "family").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    sized = members.join(sets.select("doc", F.length("shingles").alias("bytes")), "doc")
+    sizes = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("bytes") / SET_BYTES)).cast("long").alias("blocks"))
+    m = attach(members, ["key"], sizes, ["doc"]).withColumn("i", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     m = m.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    m = m.select("family", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "doc", "comp", "sketch", "shingles")
+    m = m.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "doc", "comp")
+    m = m.join(sketches, "doc").join(sets, "doc")
 
     def run(t: pa.Table) -> pa.Table:
         return _forest(t, threshold)
 
-    return m.groupBy("family", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return m.groupBy("key", "x", "y").applyInArrow(run, "doc long, pivot long").distinct()
 
 
 def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -306,50 +308,57 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     smallest id stands for a component. Very long texts are read in segments.
     Empty table: no rows. Other columns are ignored.
     """
-    sig = stored(signatures(docs, threshold), "signatures")
-    classes = sig.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
-    reps = sig.join(classes, ["hi", "lo"]).where("doc_id = rep").select(F.col("doc_id").alias("doc"), "bands", "sketch").dropDuplicates(["doc", "bands"])
-    reps = stored(reps, "representatives")
-    entries = reps.select("doc", F.explode("bands").alias("key"))
-    keys = entries.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("key")
-    members = stored(entries.join(keys, "key").distinct(), "members")
-    inside = stored(members.groupBy("doc").agg(F.count("*").alias("degree")), "inside")
+    tables = Tables(docs.sparkSession)
+    sig = tables.keep(signatures(docs, threshold), "signatures")
+    classes = tables.keep(sig.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
+    first = classes.withColumnsRenamed({"hi": "h", "lo": "l"})
+    reps = sig.join(first, (F.col("doc_id") == F.col("rep")) & (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
+    reps = tables.keep(reps.select(F.col("doc_id").alias("doc"), "bands", "sketch").dropDuplicates(["doc", "bands"]), "representatives")
+    entries = reps.select("doc", F.explode("bands").alias("key")).distinct()
+    members = with_groups(entries, ["key"], {"x": (F.min, "doc"), "y": (F.max, "doc")}, ["doc"]).where("x < y").select("key", "doc")
+    members = tables.keep(members, "members")
+    inside = tables.keep(members.groupBy("doc").agg(F.count("*").alias("degree")), "inside")
     labels = inside.select("doc", F.col("doc").alias("comp"))
     if not inside.isEmpty():
-        sketches = stored(reps.join(inside.select("doc"), "doc", "left_semi").select("doc", "sketch"), "sketches")
+        sketches = tables.keep(reps.join(inside.select("doc"), "doc", "left_semi").select("doc", "sketch"), "sketches")
         wanted = docs.select(F.col("doc_id").cast("long"), "text").join(inside.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-        sets = stored(full_sets(wanted), "sets")
+        sets = tables.keep(full_sets(wanted), "sets")
         members = members.join(inside, "doc")
+        best = F.struct("degree", (-F.col("doc")).alias("least"), "comp")
+        rest = None
         for turn in range(ROUNDS + 1):
-            at = members.join(labels, "doc")
-            best = F.max(F.struct("degree", (-F.col("doc")).alias("least"), "comp")).alias("best")
-            open_ = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), best).where("x < y")
-            open_ = open_.select("key", (-F.col("best.least")).alias("pivot"), F.col("best.comp").alias("pivot_comp"))
-            rest = stored(at.join(open_, "key"), "open")
+            at = members.join(labels, "doc").withColumn("mine", best)
+            at = with_groups(at, ["key"], {"x": (F.min, "comp"), "y": (F.max, "comp"), "best": (F.max, "mine")}, ["doc"]).where("x < y")
+            old, rest = rest, tables.keep(at.select("key", "doc", "degree", "comp", (-F.col("best.least")).alias("pivot"), F.col("best.comp").alias("pivot_comp")), "open")
+            if old is not None:
+                tables.drop(old)
             if rest.isEmpty():
                 break
             if turn < ROUNDS:
-                pairs = rest.where("doc <> pivot and comp <> pivot_comp").select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct()
+                pairs = rest.where("doc <> pivot and comp <> pivot_comp").select("doc", "pivot").distinct()
                 links = confirm(sketch_filter(pairs, sketches, threshold), sets, threshold)
                 members = rest.where("doc <> pivot").select("key", "doc", "degree")
             else:
                 links = _in_blocks(rest.select("key", "doc", "comp"), sketches, sets, threshold)
-            edges = stored(links, "links")
-            if not edges.isEmpty():
-                labels = relabel(labels, edges)
-    out = sig.select("doc_id", "row", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
-    out = out.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
-    component = F.coalesce("comp", "rep", "doc_id")
+            links = tables.keep(links, "links")
+            if not links.isEmpty():
+                labels = relabel(labels, links, tables)
+            tables.drop(links)
+    named = classes.join(labels.withColumnRenamed("doc", "rep"), "rep", "left").select("hi", "lo", F.coalesce("comp", "rep").alias("comp"))
+    named = tables.keep(named, "components")
+    out = attach(sig.select("doc_id", "row", "n", "hi", "lo"), ["hi", "lo"], named, ["doc_id", "row"], "left")
+    tables.drop_but(sig, named)
+    component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "row")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with their columns; rows that repeat with the same doc_id and text fall to one."""
-    kept = link_components(docs, threshold).where("kept").select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
-    rows = docs.withColumn("_row", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    hash_, d, r = free_name(docs, "row"), free_name(docs, "_d"), free_name(docs, "_r")
+    kept = link_components(docs, threshold).where("kept").select(F.col("doc_id").alias(d), F.col("row").alias(r)).distinct()
+    rows = docs.withColumn(hash_, F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(hash_) == F.col(r)), "left_semi")
+    return rows.dropDuplicates(["doc_id", hash_]).select(*docs.columns)
 
 
 def op8_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
