@@ -1,9 +1,11 @@
 """Language ID by prediction by partial matching: per-language byte context trees with escapes, frozen after training.
 
-Bytes are folded to a small alphabet of the commonest ones, so the code length of
-every (context, symbol) can be worked out beforehand by backing off from the
-longest context. Scoring is then one table row for each byte, in whole units of
-1/1024 bit, so sums are exact and don't depend on their order.
+A context tree is held as its grams: the strings of 1 to ORDER + 1 bytes that a
+language's sample has. The cost of each gram, with the escapes on the way down
+to it, is worked out beforehand for the languages of a group; a byte whose gram
+no language of the group has costs an escape and is looked up one order lower.
+All 256 bytes are symbols, whatever the languages. Costs are whole units of
+1/1024 bit, so sums are exact and don't depend on their order or on the groups.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches, table
+from .common import Tables, slices, small_batches, table
 
-ORDER = 3
+ORDER = 4
 #: Training documents of each language: about this many, by the hash of doc_id (the documented bound of the fit).
 SAMPLE_DOCS = 1_500
-#: Bytes of the frozen table at most; the alphabet shrinks with the number of languages.
-TABLE_BYTES = 32 << 20
+#: Longest grams of a language: those seen too rarely to be among this many are left out of its tree (a documented bound of the fit).
+MAX_GRAMS = 200_000
+#: Languages whose costs are looked up together.
+GROUP = 8
 UNIT = 1024
 UND = "und"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -34,145 +39,221 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-@dataclass(frozen=True)
-class Model:
-    languages: list[str]
-    fold: np.ndarray  # byte -> symbol
-    table: np.ndarray  # (context and symbol, language) -> 1/1024 bits
+class Index:
+    """Row numbers of keys in an open-addressed table: -1 for a key that isn't held."""
+
+    def __init__(self, held: np.ndarray):
+        bits = max(4, int(len(held) * 4).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.rows = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at, left = self._home(held), np.arange(len(held))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.rows[at[won]] = held[won], won
+            left = left[self.keys[at[left]] != held[left]]
+            at[left] = at[left] + 1 & self.mask
+
+    def _home(self, wanted: np.ndarray) -> np.ndarray:
+        return (wanted.astype(np.uint64) * _SPREAD >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        at = self._home(wanted)
+        held = self.keys[at]
+        out = np.where(held == wanted, self.rows[at], -1)
+        left = np.flatnonzero((held != wanted) & (held >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & self.mask
+            held = self.keys[at[left]]
+            hit = held == wanted[left]
+            out[left[hit]] = self.rows[at[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
 
-    @property
-    def size(self) -> int:
-        return int(self.fold.max()) + 1
 
+@dataclass(frozen=True)
+class Group:
+    """For each length of gram, 1 to order + 1: index of the grams, their costs (gram, language), and as contexts of a longer gram their escapes."""
 
-def folded() -> np.ndarray:
-    """Lower case for A-Z, one byte for all digits, one for \\x09-\\x0D and space."""
-    fold = np.arange(256)
-    fold[65:91] += 32
-    fold[48:58] = 48
-    fold[9:14] = 32
-    return fold.astype(np.uint8)
+    languages: list[str]
+    levels: list[tuple[Index, np.ndarray, np.ndarray]]
 
 
-def keys(symbols: np.ndarray, starts: np.ndarray, size: int, order: int) -> np.ndarray:
-    """For each symbol its context and itself as one number. symbols has order spaces of context before each start."""
-    n = len(symbols) - order
-    key = np.zeros(max(n, 0), np.int64)
-    for i in range(order + 1):
-        key = key * size + symbols[i : i + n]
-    return key
+@dataclass(frozen=True)
+class Model:
+    groups: list[Group]
+    order: int
 
+    @property
+    def languages(self) -> list[str]:
+        return [x for g in self.groups for x in g.languages]
 
-def joined(texts: list[str], lut: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, each after order spaces, and where the texts' own symbols start and end."""
+
+def joined(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, each after order spaces, and where the texts' own bytes start and end."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer((b" " * order).join([b"", *raw]), np.uint8)
     sizes = np.array([len(r) for r in raw], np.int64)
     ends = np.cumsum(sizes + order)
-    return lut[data], ends - sizes, ends
+    return data, ends - sizes, ends
+
+
+def grams_of(data: np.ndarray, order: int) -> np.ndarray:
+    """For each byte after the first order ones, it and those before it as one number."""
+    n = max(0, len(data) - order)
+    key = np.zeros(n, np.int64)
+    for i in range(order + 1):
+        key = key << 8 | data[i : i + n]
+    return key
 
 
 def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n): counts of order+1 folded bytes, the grams as one long."""
+    """(lang, gram, n): counts of order+1 bytes, the grams as one long."""
     small_batches(docs.sparkSession)
-    lut = folded()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows in slices(b, 1):
                 langs, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
                 for lang in sorted(set(langs)):
-                    symbols, starts, ends = joined([t for t, x in zip(texts, langs) if x == lang], lut, order)
-                    own = np.zeros(len(symbols), bool)
+                    data, starts, ends = joined([t for t, x in zip(texts, langs) if x == lang], order)
+                    own = np.zeros(len(data), bool)
                     for s, e in zip(starts.tolist(), ends.tolist()):
                         own[s:e] = True
-                    grams, n = np.unique(keys(symbols.astype(np.int64), starts, 256, order)[own[order:]], return_counts=True)
+                    grams, n = np.unique(grams_of(data, order)[own[order:]], return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def freeze(grams: list[tuple[str, np.ndarray, np.ndarray]], order: int = ORDER, table_bytes: int = TABLE_BYTES) -> Model:
-    """PPM (method C) code lengths: a symbol seen n of N times in a context with d symbols costs -log2 n/(N+d), an escape -log2 d/(N+d)."""
-    languages = [g[0] for g in grams]
-    size = max(4, min(250, int((table_bytes / (2 * max(1, len(languages)))) ** (1 / (order + 1)))))
-    totals = np.zeros(256, np.int64)
-    for _, gram, n in grams:
-        np.add.at(totals, gram % 256, n)
-    totals[32] = totals.max() + 1 if len(totals) else 1  # the space is always a symbol
-    common = [b for b in np.argsort(-totals, kind="stable")[: size - 1] if totals[b]]
-    size = len(common) + 1
-    symbol = np.full(256, size - 1, np.int64)
-    symbol[common] = np.arange(len(common))
-    out = np.empty((size ** (order + 1), len(languages)), np.uint16)
-
-    def longer(seen: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Code lengths after contexts one symbol longer than below's, from their counts (context, symbol)."""
-        total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        below = np.tile(below.ravel(), seen.size // below.size).reshape(seen.shape)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(total == 0, below, np.where(seen > 0, np.log2(total + kinds) - np.log2(seen), np.log2(total + kinds) - np.log2(kinds) + below))
-
-    for column, (_, gram, n) in enumerate(grams):
-        key = np.zeros(len(gram), np.int64)
-        for i in range(order, -1, -1):
-            key = key * size + symbol[gram >> (8 * i) & 255]
-        cost = np.full(1, np.log2(size))
-        for level in range(order):
-            cost = longer(np.bincount(key % size ** (level + 1), weights=n, minlength=size ** (level + 1)).reshape(-1, size), cost)
-        part = size**order  # the longest contexts by their first symbol, as the driver's memory is small
-        by_first = np.argsort(key // part, kind="stable")
-        bounds = np.searchsorted(key[by_first] // part, np.arange(size + 1))
-        for first in range(size):
-            mine = by_first[bounds[first] : bounds[first + 1]]
-            bits = longer(np.bincount(key[mine] % part, weights=n[mine], minlength=part).reshape(-1, size), cost)
-            out[first * part : (first + 1) * part, column] = np.minimum(np.rint(bits.ravel() * UNIT), 65535)
-    return Model(languages, symbol[folded()].astype(np.uint8), out)
-
-
-def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits on rows with text and lang: about sample_docs whole texts for each language, chosen by a hash of doc_id."""
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    held, at = np.unique(keys, return_inverse=True)
+    return held, np.bincount(at, weights=n, minlength=len(held)).astype(np.int64)
+
+
+def _units(bits: np.ndarray) -> np.ndarray:
+    return np.rint(bits * UNIT).astype(np.int32)
+
+
+def _at(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each wanted key in sorted ones (0 where absent), and whether it is there."""
+    row = np.minimum(np.searchsorted(held, wanted), max(0, len(held) - 1))
+    there = held[row] == wanted if len(held) else np.zeros(len(wanted), bool)
+    return np.where(there, row, 0), there
+
+
+def freeze(grams: list[tuple[str, np.ndarray, np.ndarray]], order: int = ORDER) -> Group:
+    """PPM (method C): a byte seen n of N times in a context with d bytes costs -log2 n/(N+d), an escape -log2 d/(N+d), a byte seen nowhere 8 bits more."""
+    unions, above = [], np.zeros(0, np.int64)
+    for k in range(order + 1, 0, -1):
+        # The grams of a length, the contexts of longer ones (spaces before a text are in no gram) and what longer ones end in.
+        above = np.unique(np.concatenate([np.concatenate([g & (1 << 8 * k) - 1, g >> 8 & (1 << 8 * k) - 1]) if k <= order else g for _, g, _ in grams] + [above & (1 << 8 * k) - 1]))
+        unions.append(above)
+    levels, below, costs_below = [], np.zeros(1, np.int64), np.full((1, len(grams)), 8 * UNIT, np.int32)
+    for k, union in enumerate(reversed(unions), 1):
+        last = (1 << 8 * k) - 1
+        own = [_summed(g & last, n) for _, g, n in grams]
+        row_below, _ = _at(below, union & (last >> 8))
+        costs, escapes = costs_below[row_below].copy(), np.zeros((len(below), len(grams)), np.int32)
+        for column, (g, n) in enumerate(own):
+            contexts, total = _summed(g >> 8, n)
+            kinds = _summed(g >> 8, np.ones(len(g)))[1]
+            escape = _units(np.log2(total + kinds) - np.log2(kinds))
+            at, there = _at(contexts, union >> 8)
+            costs[:, column] += np.where(there, escape[at] if len(escape) else 0, 0)
+            row, seen = _at(g, union)
+            if len(g):
+                costs[:, column] = np.where(seen, _units(np.log2(total + kinds)[at] - np.log2(n)[row]), costs[:, column])
+                at, there = _at(contexts, below)
+                escapes[:, column] = np.where(there, escape[at], 0)
+        if k > 1:
+            levels[-1] = (*levels[-1][:2], escapes)
+        else:
+            root = escapes
+        levels.append((Index(union), costs, np.zeros((0, len(grams)), np.int32)))
+        below, costs_below = union, costs
+    return Group([g[0] for g in grams], [(None, np.full((1, len(grams)), 8 * UNIT, np.int32), root), *levels])
+
+
+def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, max_grams: int = MAX_GRAMS) -> Model:
+    """Fits on rows with text and lang: about sample_docs whole texts for each language, chosen by a hash of doc_id, and max_grams longest grams."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = {r[0]: sample_docs / r[1] for r in docs.groupBy("lang").count().collect()}
     if not shares:
-        return Model([], np.zeros(256, np.uint8), np.zeros((1, 0), np.uint16))
+        return Model([], order)
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for p in shares.items() for x in p]), F.col("lang"))
-    grams = counts(docs.where(draw < share), order).toArrow()
+    tables = Tables(docs.sparkSession)
+    seen = tables.keep(counts(docs.where(draw < share), order), "grams")
+    least, held = dict.fromkeys(shares, 1), dict.fromkeys(shares, 0)
+    for r in sorted(seen.groupBy("lang", F.least("n", F.lit(1 << 20)).alias("n")).count().collect(), key=lambda r: -r["n"]):
+        held[r["lang"]] += r["count"]
+        if held[r["lang"]] > max_grams and least[r["lang"]] == 1:
+            least[r["lang"]] = r["n"] + 1
+    floor = F.element_at(F.create_map(*[F.lit(x) for p in least.items() for x in p]), F.col("lang"))
+    grams = seen.where(F.col("n") >= floor).toArrow()  # max_grams rows for each language at most
+    tables.drop(seen)
     lang = np.array(grams["lang"].to_pylist(), object)
     gram, n = grams["gram"].to_numpy(), grams["n"].to_numpy()
-    return freeze([(x, gram[lang == x], n[lang == x]) for x in sorted(shares)], order)
+    each = [(x, gram[lang == x], n[lang == x]) for x in sorted(shares)]
+    return Model([freeze(each[i : i + GROUP], order) for i in range(0, len(each), GROUP)], order)
+
+
+def _costs(key: np.ndarray, group: Group) -> np.ndarray:
+    """Cost (byte, language) of each byte from its longest gram down."""
+    out = np.zeros((len(key), len(group.languages)), np.int32)
+    left = np.arange(len(key))
+    for k in range(len(group.levels) - 1, 0, -1):
+        index, costs, _ = group.levels[k]
+        mine = key[left] & (1 << 8 * k) - 1
+        row = index.find(mine)
+        hit = row >= 0
+        out[left[hit]] += costs[row[hit]]
+        left, mine = left[~hit], mine[~hit]
+        if not len(left):
+            return out
+        shorter, _, escapes = group.levels[k - 1]
+        row = shorter.find(mine >> 8) if shorter else np.zeros(len(mine), np.int64)
+        out[left] += np.where((row >= 0)[:, None], escapes[row], 0)
+    out[left] += 8 * UNIT
+    return out
 
 
-def code_lengths(texts: list[str], model: Model, order: int = ORDER) -> np.ndarray:
+def code_lengths(texts: list[str], model: Model) -> np.ndarray:
     """Bits of each text under each language, in units of 1/1024."""
-    out = np.zeros((len(texts), len(model.languages)), np.int64)
-    if not texts or not model.languages:
+    n = len(model.languages)
+    out = np.zeros((len(texts), n), np.int64)
+    if not texts or not n:
         return out
-    symbols, starts, ends = joined(texts, model.fold, order)
-    key = keys(symbols.astype(np.int32), starts, model.size, order)
-    for at in range(0, len(key), 1 << 18):
-        cost = np.cumsum(model.table[key[at : at + (1 << 18)]], axis=0, dtype=np.int64)
-        cost = np.vstack([np.zeros((1, cost.shape[1]), np.int64), cost])
-        lo, hi = (np.clip(x - order - at, 0, len(cost) - 1) for x in (starts, ends))
-        out += cost[hi] - cost[lo]
+    order = model.order
+    data, starts, ends = joined(texts, order)
+    starts, ends = starts - order, ends - order
+    size = max(1 << 12, (1 << 19) // n)
+    for at in range(0, len(data) - order, size):
+        key = grams_of(data[at : at + size + order], order)
+        cost = np.concatenate([_costs(key, g) for g in model.groups], axis=1)
+        cost = np.vstack([np.zeros((1, n), np.int64), np.cumsum(cost, axis=0, dtype=np.int64)])
+        one, other = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(key), "left")
+        lo, hi = (np.clip(x[one:other] - at, 0, len(key)) for x in (starts, ends))
+        out[one:other] += cost[hi] - cost[lo]
     return out
 
 
-def predict(docs: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred and score: the language with the shortest code and its posterior share.
 
     Only text is read. A null text, or one without a letter, is `und` with score
     0, as is every text if nothing could be learned. Ties go to the first
     language in code-point order. Empty texts are `und`; very long ones are
-    scored whole, in blocks. Other columns stay; ones named like the results are
-    replaced.
+    scored whole, in blocks. Repeated rows are handled alike. Other columns stay;
+    ones named like the results (names) are replaced. Empty table: no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # TABLE_BYTES at most
-    base = docs.drop("lang_pred", "score")
-    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    held = spark.sparkContext.broadcast(model)  # some 15 MB a language at MAX_GRAMS
+    base = docs.drop(*names)
+    schema = T.StructType([*base.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = base.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,15 +262,15 @@ def predict(docs: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
             for rows in slices(b, at):
                 texts = rows.column(at).to_pylist()
                 fit = [i for i, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
-                bits = code_lengths([texts[i] for i in fit], model, order)
-                names, scores = [UND] * len(texts), [0.0] * len(texts)
+                bits = code_lengths([texts[i] for i in fit], model)
+                found, scores = [UND] * len(texts), [0.0] * len(texts)
                 if fit:
                     best = bits.argmin(1)
                     gap = (bits - bits[np.arange(len(fit)), best][:, None]) / UNIT
                     share = 1 / np.exp2(-np.minimum(gap, 1000.0)).sum(1)
                     for i, k, s in zip(fit, best.tolist(), share.tolist()):
-                        names[i], scores[i] = model.languages[k], s
-                yield pa.record_batch([*rows.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rows.schema.names, "lang_pred", "score"])
+                        found[i], scores[i] = model.languages[k], s
+                yield pa.record_batch([*rows.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*rows.schema.names, *names])
 
     return base.mapInArrow(run, schema)
 

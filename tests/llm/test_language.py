@@ -10,20 +10,19 @@ import numpy as np
 from spendloom.llm import language as L
 
 
-def plain_bits(text, train, alphabet, symbol, order=L.ORDER):
-    fold = L.folded()
+def plain_bits(text, train, order=L.ORDER):
     seen = [defaultdict(Counter) for _ in range(order + 1)]
     for t in train:
-        s = [symbol[b] for b in fold[list(b" " * order + t.encode())]]
+        s = b" " * order + t.encode()
         for i in range(order, len(s)):
             for k in range(order + 1):
-                seen[k][tuple(s[i - k : i])][s[i]] += 1
-    s = [symbol[b] for b in fold[list(b" " * order + text.encode())]]
+                seen[k][s[i - k : i]][s[i]] += 1
+    s = b" " * order + text.encode()
 
     def cost(i, k):
         if k < 0:
-            return math.log2(alphabet)
-        c = seen[k].get(tuple(s[i - k : i]))
+            return 8.0
+        c = seen[k].get(s[i - k : i])
         if not c:
             return cost(i, k - 1)
         total = sum(c.values()) + len(c)
@@ -32,17 +31,33 @@ def plain_bits(text, train, alphabet, symbol, order=L.ORDER):
     return sum(cost(i, order) for i in range(order, len(s)))
 
 
-def test_code_lengths(spark):
+def test_code_lengths(spark, monkeypatch):
     rnd = random.Random(5)
-    texts = {k: ["".join(rnd.choice(k + " é") for _ in range(60)) for _ in range(5)] for k in ("abcd", "cdef")}
+    texts = {k: ["".join(rnd.choice(k + " é漢") for _ in range(60)) for _ in range(5)] for k in ("abcd", "cdef", "efgh")}
     docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate((k, t) for k in texts for t in texts[k])], "doc_id long, text string, lang string")
     model = L.train(docs)
-    symbol = [int(model.fold[b]) for b in range(256)]
-    tests = ["abc dcba", "", "fedc é zz Z9", "x" * 30]
-    got = L.code_lengths(tests, model) / L.UNIT
+    tests = ["abc dcba", "", "fedc é zz Z9", "x" * 30, "ab漢 é字", " "]
+    got = L.code_lengths(tests, model)
     for i, t in enumerate(tests):
         for j, k in enumerate(model.languages):
-            assert abs(got[i, j] - plain_bits(t, texts[k], model.size, symbol)) < 0.001 * (len(t) + 1) * 4
+            assert abs(got[i, j] / L.UNIT - plain_bits(t, texts[k])) < 0.001 * (len(t) + 1) * 8
+    monkeypatch.setattr(L, "GROUP", 1)  # the groups don't matter
+    assert (L.code_lengths(tests, L.train(docs)) == got).all()
+
+
+def test_index():
+    rnd = np.random.default_rng(2)
+    held = np.unique(rnd.integers(0, 1 << 40, 5000))
+    wanted = np.concatenate([held, rnd.integers(0, 1 << 40, 5000)])
+    at = {k: i for i, k in enumerate(held.tolist())}
+    assert L.Index(held).find(wanted).tolist() == [at.get(k, -1) for k in wanted.tolist()]
+    assert L.Index(held[:0]).find(wanted[:3]).tolist() == [-1] * 3
+
+
+def test_rare_grams_go(spark):
+    docs = spark.createDataFrame([(1, "abc abc abc xyz", "a"), (2, "q r s t u", "b")], "doc_id long, text string, lang string")
+    model = L.train(docs, max_grams=5)
+    assert L.code_lengths(["abc"], model)[0, 0] < L.code_lengths(["xyz"], model)[0, 0]
 
 
 def test_blocks_equal_whole(spark, sf_dir):
