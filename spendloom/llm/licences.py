@@ -14,13 +14,12 @@ from .licence_texts import FILES, LICENCES, NAMES, TEMPLATES, TITLES, editions
 #: Equivalent spellings, in the order they are applied, between single spaces.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("https", "http"), ("v 2 0", "version 2 0"), ("v2 0", "version 2 0"), ("v3", "version 3"), ("v2", "version 2")]
 _COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-_OTHER = r"[\x01-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What the SQL looks lines up by. Some known notices ("Released under CC BY 4.0.") have none of these, so the operator doesn't use it.
-_TRIGGER = r"(?i)licen[cs]e|public domain|spdx"
+#: ASCII but letters and digits, no-break space, angle quotes, dashes, curly quotes, bullet, ellipsis, ideographic space and stops.
+_OTHER = r"[\x01-\x2F\x3A-\x60\x7B-\x7F\u00A0\u00AB\u00BB\u2010-\u2015\u2018-\u201F\u2022\u2026\u3000-\u3002]+".encode().decode("raw_unicode_escape")
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, copyright lines dropped, ASCII runs without letters and digits as one space, spellings made equal."""
+    """Lower case, copyright lines dropped, punctuation (also curly quotes and dashes) and spaces as one space, spellings made equal."""
     x = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, "\n"), _OTHER, " ")
     x = F.concat(F.lit(" "), x, F.lit(" "))
     for was, now in SPELLINGS:
@@ -52,8 +51,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     """docs with text_sha256 (of the canonical whole text), licence (of a whole text that is a known one) and notices.
 
     notices: the sorted distinct licences of lines that are known notices; every
-    line is hashed. Whole
-    texts are hash-joined to the digests, a constant table; nothing is shuffled.
+    line is hashed. Whole texts are hash-joined to the digests, a constant table; nothing is shuffled.
     Nulls: a null text has null digest and licence and no notices. An empty text
     has the digest of ''. Repeated rows each get their result; a text that two
     names share goes to the first in code-point order. Other columns stay; ones
@@ -86,7 +84,6 @@ def _sql(x: str) -> str:
 
 def op9_sql() -> str:
     values = ", ".join(f"('{d}', '{s}')" for d, s in known())
-    trigger = _TRIGGER.removeprefix("(?i)")
     return rf"""
 WITH known(digest, licence) AS (VALUES {values}), w AS (
   SELECT doc_id, sha256({_sql("text")}) AS text_sha256 FROM documents
@@ -94,7 +91,7 @@ WITH known(digest, licence) AS (VALUES {values}), w AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
 ), n AS (
   SELECT l.doc_id, string_agg(DISTINCT k.licence, ',' ORDER BY k.licence) AS notices, count(DISTINCT k.licence) AS n FROM l JOIN known k ON k.digest = sha256({_sql("l.line")})
-  WHERE regexp_matches(l.line, '{trigger}', 'i') GROUP BY l.doc_id
+  GROUP BY l.doc_id
 )
 SELECT w.doc_id, w.text_sha256, k.licence, coalesce(n.notices, '') AS notices, CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices
 FROM w LEFT JOIN known k ON k.digest = w.text_sha256 LEFT JOIN n ON n.doc_id = w.doc_id
