@@ -179,6 +179,12 @@ def _blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
     return rows.coalesce(max(1, -(-total // size))).mapInArrow(run, "block long, dims int, ids binary, q binary")
 
 
+def _first_of_each(rows: DataFrame) -> DataFrame:
+    """One vector for each id: the least by its components, so that reruns agree."""
+    key, value = rows.columns
+    return rows.groupBy(key).agg(F.min(value).alias(value))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows but its own, ties to the smaller vec_id.
 
@@ -186,7 +192,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     (dims), the packed blocks as rows: every row is scored against the stated
     queries, each block pair by one task that returns k rows for a query. Vectors
     meet only those with as many components. Rows that share a vec_id are
-    candidates each for itself but not for a query of that id, which counts once.
+    candidates each for itself but not for a query of that id, which counts once,
+    with the least vector by its components.
     Rows left out: see quantised. Components must stay below 2**31 when scaled.
     Empty table: no rows. Other columns are ignored.
     """
@@ -195,7 +202,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     n_queries = queries.count()
     query_block = max(query_block, -(-n_queries // PARTS))
     rows = _blocks(quantised(vectors, scale), block, vectors.count())
-    wanted = _blocks(quantised(queries, scale).dropDuplicates(["vec_id"]), query_block, n_queries)
+    wanted = _blocks(_first_of_each(quantised(queries, scale)), query_block, n_queries)
     rows, wanted = stored(rows, "bsi"), stored(wanted, "bsi-queries").withColumnsRenamed({"block": "query_block", "ids": "query_ids", "q": "query_q"})
     # One partition for a block pair or few: dims is one value or few, so the pairs are dealt out by both block numbers.
     parts = [r[0] for r in wanted.select("query_block").collect()]  # PARTS numbers at most, and what partly filled blocks add
