@@ -98,8 +98,9 @@ class SequenceReader:
     def ids(self, i: int) -> np.ndarray:
         return self._row(i, 0).to_numpy(zero_copy_only=True)
 
-    def mask(self, i: int) -> np.ndarray:
-        return self._row(i, 1).to_numpy(zero_copy_only=False)
+    def mask(self, i: int) -> pa.BooleanArray:
+        """A view of the file's bits; to_numpy(zero_copy_only=False) widens them to bytes."""
+        return self._row(i, 1)
 
     def span(self, at: int, n: int) -> np.ndarray:
         """Ids at..at+n of the file's running text."""
