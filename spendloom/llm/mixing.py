@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, Tables, attach, table
 
 #: Documents of one hash bucket, on average: a window never sorts many more.
 BUCKET_ROWS = 5_000
 #: Most repeats of a document.
 EPOCHS = 3
 _KEYS = 1 << 60
+#: Sources whose sums are broadcast (some 10 MB); the sums of more are joined.
+SOURCES = 100_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -60,12 +62,11 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, bucket_rows: int = BUCKET_ROWS) -
     equal keys keep together and are cut in order of size. A source whose size
     is 0 has target 0. Empty table: no rows. Other columns are ignored.
     """
-    d = docs.select("doc_id", "source", word_count().alias("size"), random_key().alias("key"))
+    d = Tables(docs.sparkSession).keep(docs.select("doc_id", "source", word_count().alias("size"), random_key().alias("key")), "sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     ranges = F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).cast("long")
     plan = targets(sizes.select("source", "source_size"), epochs).join(sizes.select(F.col("source").alias("s"), ranges.alias("ranges")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = plan.withColumnRenamed("source", "of")
-    d = d.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    d = _of_source(d, plan, ["key"])
     d = d.withColumn("range", F.least(F.floor(F.col("key") / (F.lit(float(_KEYS)) / F.col("ranges"))), F.col("ranges") - 1).cast("long"))
     bases = d.groupBy("source", "range").agg(F.sum("size").alias("held"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,20 +80,31 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, bucket_rows: int = BUCKET_ROWS) -
     return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "key")
 
 
+def _of_source(rows: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their source in values, which is broadcast if it has at most SOURCES rows; more sources are joined, each dealt over parts."""
+    values = Tables(rows.sparkSession).keep(values, "by-source")
+    if values.count() <= SOURCES:
+        return rows.join(F.broadcast(values.withColumnRenamed("source", "_of")), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    pair = lambda df: df.withColumns({"_of": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
+    return attach(pair(rows), ["_of", "_none"], pair(values).drop("source"), by).drop("_of", "_none")
+
+
 def mixture(docs: DataFrame, epochs: int = EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of docs, as often as the mix takes them whole: the document at the cut goes if half of its words are within.
 
     The mix takes the first documents of a source in key order once more than
     the rest, so the last such key of each source decides for every row, and the
-    texts aren't moved.
+    texts aren't moved. Nulls, ties, repeated rows and empty tables: as in mix.
+    Other columns stay as they are, whatever their names.
     """
     m = mix(docs, epochs, bucket_rows)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     more = (F.col("size") > 0) & (2 * (F.col("taken") - whole * F.col("size")) >= F.col("size"))
-    cuts = m.groupBy("source").agg(F.first(whole).alias("_whole"), F.coalesce(F.max(F.when(more, F.col("key"))), F.lit(-1)).alias("_cut")).withColumnRenamed("source", "_of")
-    rows = docs.withColumn("_key", random_key()).join(cuts, F.col("source").eqNullSafe(F.col("_of")))
-    copies = (F.col("_whole") + (F.col("_key") <= F.col("_cut")).cast("long")).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    cuts = m.groupBy("source").agg(F.first(whole).alias("whole"), F.coalesce(F.max(F.when(more, F.col("key"))), F.lit(-1)).alias("cut"))
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")
+    rows = _of_source(docs.select(held, "source", random_key().alias("key")), cuts, ["key"])
+    copies = (F.col("whole") + (F.col("key") <= F.col("cut")).cast("long")).cast("int")
+    return rows.select("held", F.explode(F.array_repeat(F.lit(1), copies))).select("held.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,22 @@ def test_mixing(spark):
     assert sorted(map(str, mix(docs, bucket_rows=8).collect())) == sorted(map(str, got))
     assert mixture(docs).columns == docs.columns
     assert mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    from spendloom.llm import mixing
+
+    docs = table(spark, [(i, "w " * (1 + i % 7), f"s{i % 11}" if i % 13 else None) for i in range(300)])
+    want, copies = sorted(map(str, mix(docs).collect())), sorted(map(str, mixture(docs).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 0)  # joined, not broadcast
+    assert sorted(map(str, mix(docs).collect())) == want and sorted(map(str, mixture(docs).collect())) == copies
+
+
+def test_mixture_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1, 2, 3, 4, 5)], "doc_id long, text string, source string, key int, whole int, cut int, held int, _of int")
+    assert [tuple(r)[3:] for r in mixture(docs).collect()] == [(1, 2, 3, 4, 5)]
+
+
+def test_licence_punctuation(spark):
+    rows = [(1, "Licensed under the “MIT License”.", "a"), (2, "This project is licensed under the terms of the Apache License — Version 2.0.", "a")]
+    assert [r.notices for r in sorted(scan_licences(table(spark, rows)).collect())] == [["MIT"], ["Apache-2.0"]]
