@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom.llm import language, mixing, near_dedup, packing, pii
-from spendloom.llm.common import stored, table
+from spendloom.llm.common import Tables, free_name, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no text or no letters)."""
-    model = language.train(docs)
-    return language.predict(docs, model).where(F.col("lang_pred") != language.UND).select(*docs.columns)
+    model, names = language.train(docs), (free_name(docs, "lang_pred"), free_name(docs, "score"))
+    return language.predict(docs, model, names).where(F.col(names[0]) != language.UND).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = tables.keep(stage(spark, docs, sf_dir), name)
+        tables.drop_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
