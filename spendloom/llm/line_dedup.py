@@ -1,11 +1,12 @@
 """Substring dedup by line hashing: the earliest ranked occurrence of a passage stays, the later ones go.
 
 A unit is a part of a line up to a punctuation mark. Whatever its length, a unit
-is hashed with its neighbours: for every unit, the shortest run of units that
-starts there and the shortest that ends there with MIN_WORDS words. A run whose
-digest has an earlier occurrence goes. So a passage goes where all of it stands
-elsewhere in one piece, however its lines are set, and a short phrase that
-recurs by chance stays.
+is hashed with its neighbours, in runs of MIN_WORDS words or more: those that
+have fewer without their first unit, and without their last; and from each line's
+start and to each line's end the shortest. A run whose digest has an earlier
+occurrence goes. So a passage goes where it stands elsewhere in one piece,
+however its lines are set (within lines, less than a unit at its edges may stay),
+and a short phrase that recurs by chance stays.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,42 +27,50 @@ from .common import slices, small_batches, table
 #: Words of a run: shorter passages stay wherever they are.
 MIN_WORDS = 40
 #: Digests that a task remembers before it passes them on.
-MEMO = 200_000
+MEMO = 100_000
 UNIT = re.compile(r"[^.,;:!?\n]+[.,;:!?\n]*|[.,;:!?\n]+")
-_DROP = str.maketrans("", "", string.punctuation)
-_SPACE = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
-
-
-def normalise(unit: str) -> list[str]:
-    """The words of a unit: ASCII punctuation dropped, lower case, split at space and \\x09-\\x0D."""
-    return [w for w in unit.translate(_DROP).lower().translate(_SPACE).split(" ") if w]
+_BOUND = re.compile(r"[.,;:!?\n]")
+_FLAT = {ord(c): None for c in string.punctuation} | dict.fromkeys(map(ord, ".,;:!?\n"), "\n") | dict.fromkeys((9, 11, 12, 13), " ")
+
+
+def normalised(text: str) -> list[tuple[str, int, int]]:
+    """(words, start, end) of each unit with words: ASCII punctuation dropped, lower case, single spaces for those and \\x09-\\x0D."""
+    bounds = [m.start() for m in _BOUND.finditer(text)]
+    out, n = [], len(bounds)
+    for k, part in enumerate(text.translate(_FLAT).lower().split("\n")):
+        words = part.strip(" ")
+        if words:
+            if "  " in words:
+                words = " ".join(w for w in words.split(" ") if w)
+            last = k
+            while last + 1 < n and bounds[last + 1] == bounds[last] + 1:
+                last += 1
+            out.append((words, bounds[k - 1] + 1 if k else 0, bounds[last] + 1 if k < n else len(text)))
+    return out
 
 
 def runs(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
     """(digest, start, end) of each run, in code points. Units without words are in no run of their own."""
-    starts, ends, norms, upto = [], [], [], [0]
-    for m in UNIT.finditer(text):
-        if words := normalise(m.group()):
-            starts.append(m.start())
-            ends.append(m.end())
-            norms.append(" ".join(words))
-            upto.append(upto[-1] + len(words))
-    spans, n = set(), len(norms)
-    j = 0
-    for i in range(n):
-        while j < n and upto[j + 1] - upto[i] < min_words:
-            j += 1
-        if j == n:
-            break
-        spans.add((i, j))
+    units = normalised(text)
+    n, upto, place = len(units), [0], [0]
+    for words, _, _ in units:
+        upto.append(upto[-1] + words.count(" ") + 1)
+        place.append(place[-1] + len(words) + 1)
+    if upto[-1] < min_words:
+        return
+    opens = [i == 0 or text.find("\n", units[i - 1][1], units[i][1]) >= 0 for i in range(n)]
+    spans = {(i, j - 1) for i in range(n) if opens[i] and (j := bisect_left(upto, upto[i] + min_words)) <= n}
     i = 0
     for j in range(n):
-        while upto[j + 1] - upto[i + 1] >= min_words:
-            i += 1
         if upto[j + 1] - upto[i] >= min_words:
-            spans.add((i, j))
+            while upto[j + 1] - upto[i + 1] >= min_words:
+                i += 1
+            if upto[j] - upto[i] < min_words or j + 1 == n or opens[j + 1]:
+                spans.add((i, j))
+    whole = " ".join(u[0] for u in units)
     for i, j in sorted(spans):
-        yield hashlib.blake2b(" ".join(norms[i : j + 1]).encode("utf-8", "surrogatepass"), digest_size=16).digest(), starts[i], ends[j]
+        words = whole[place[i] : place[j + 1] - 1].encode("utf-8", "surrogatepass")
+        yield hashlib.blake2b(words, digest_size=16).digest(), units[i][1], units[j][2]
 
 
 _OUT = ["hi", "lo", "none", "doc_id", "row", "start", "end"]
@@ -82,7 +93,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cols = list(zip(*found)) if found else [()] * 5
             halves = [pa.nulls(len(found), pa.int64())] * 2
             if digests is not None:
-                halves = [pa.array([int.from_bytes(d[at : at + 8], "big", signed=True) for d in digests], pa.int64()) for at in (0, 8)]
+                halves = [pa.array(c) for c in np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2).T]
             kinds = [pa.bool_(), *[pa.int64()] * 4]
             return pa.record_batch([*halves, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=_OUT)
 
@@ -174,11 +185,15 @@ WITH l AS (
     trim(regexp_replace(lower(regexp_replace(unit, '[!-/:-@\[-`{-~]', '', 'g')), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS norm FROM p
 ), n AS (
   SELECT doc_id, start, start + length(unit) AS stop, norm, len(string_split(norm, ' ')) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM o WHERE norm <> ''
+), b AS (
+  SELECT n.*, coalesce(contains(substr(d.text, CAST(lag(start) OVER (PARTITION BY n.doc_id ORDER BY i) AS BIGINT) + 1, CAST(start - lag(start) OVER (PARTITION BY n.doc_id ORDER BY i) AS BIGINT)), chr(10)), true) AS opens
+  FROM n JOIN documents d ON n.doc_id = d.doc_id
 ), c AS (
-  SELECT *, CAST(sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto, CAST(sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - k AS before FROM n
+  SELECT *, CAST(sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto, CAST(sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - k AS before,
+    coalesce(lead(opens) OVER (PARTITION BY doc_id ORDER BY i), true) AS closes FROM b
 ), w AS (
-  SELECT a.doc_id, a.i, b.i AS j FROM c a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.before + 40 <= b.upto
-  UNION SELECT a.doc_id, b.i, a.i FROM c a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.upto - 40 >= b.before
+  SELECT a.doc_id, a.i, b.i AS j FROM (SELECT * FROM c WHERE opens) a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.before + 40 <= b.upto
+  UNION SELECT a.doc_id, b.i, a.i FROM c a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.upto - 40 >= b.before WHERE a.closes OR a.before - b.before < 40
 ), t AS (
   SELECT w.doc_id, w.i, w.j, string_agg(c.norm, ' ' ORDER BY c.i) AS run, min(start) AS start, max(stop) AS stop
   FROM w JOIN c ON w.doc_id = c.doc_id AND c.i BETWEEN w.i AND w.j GROUP BY w.doc_id, w.i, w.j

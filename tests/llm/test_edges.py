@@ -1,8 +1,10 @@
 """Nulls, empty texts and tables, ties, repeated rows and clashing columns for line dedup, licences and mixing."""
 
+import string
+
 from spendloom.llm.licence_texts import FILES, LICENCES, NAMES, NOTICES_ONLY, TEMPLATES, TITLES
 from spendloom.llm.licences import scan_licences
-from spendloom.llm.line_dedup import UNIT, deduplicate_lines, normalise, runs
+from spendloom.llm.line_dedup import UNIT, deduplicate_lines, normalised, runs
 from spendloom.llm.mixing import mix, mixture
 
 SCHEMA = "doc_id long, text string, source string, row long, key long, taken long, notices string, removed string, salt int"
@@ -44,15 +46,20 @@ def test_runs_against_all_pairs():
 
     r = random.Random(3)
     for _ in range(200):
-        units = [" ".join(r.choice("abc") for _ in range(r.randrange(0, 5))) + r.choice([".", ",", "!", "\n"]) for _ in range(r.randrange(12))]
+        units = [" ".join(r.choice(["a", "b", "C", "-"]) for _ in range(r.randrange(0, 5))) + r.choice([".", ",", "!", "\n", ".\n", " \n"]) for _ in range(r.randrange(12))]
         text = "".join(units)
-        words = [(m.start(), m.end(), normalise(m.group())) for m in UNIT.finditer(text)]
-        words = [w for w in words if w[2]]
-        want = set()
+        words = []
+        for m in UNIT.finditer(text):
+            w = m.group().translate({ord(c): None for c in string.punctuation}).lower().split()
+            if w:
+                words.append((m.start(), m.end(), w))
+        assert [(" ".join(w), s, e) for s, e, w in words] == normalised(text)
+        opens = [i == 0 or "\n" in text[words[i - 1][0] : words[i][0]] for i in range(len(words))] + [True]
+        want, n = set(), lambda a, b: sum(len(w[2]) for w in words[a : b + 1])
         for i in range(len(words)):
             for j in range(i, len(words)):
-                n = lambda a, b: sum(len(w[2]) for w in words[a : b + 1])
-                if n(i, j) >= 7 and (n(i, j - 1) < 7 or n(i + 1, j) < 7):
+                left, right = n(i, j - 1) < 7, n(i + 1, j) < 7
+                if n(i, j) >= 7 and (left and right or left and opens[i] or right and opens[j + 1]):
                     want.add((words[i][0], words[j][1]))
         assert {(s, e) for _, s, e in runs(text, 7)} == want
         assert "".join(m.group() for m in UNIT.finditer(text)) == text
