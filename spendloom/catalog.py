@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from .operators import decisions, graphs, relational, sequences, spend
+from .operators import decisions, folds, graphs, relational, roi, scanners, sequences, spend
 from .plans.dialect import bind
 
 QUERIES, ORACLE_SQL = bind(spend.QUERIES | sequences.QUERIES | relational.QUERIES | decisions.QUERIES)
 QUERIES |= graphs.QUERIES
 ORACLE_SQL |= graphs.ORACLE_SQL
+for module in (folds, roi, scanners):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL

@@ -26,7 +26,7 @@ QUERIES = {
     "k5_lru": Query("WITH lim AS (SELECT max(ts) AS now FROM {events}), l AS (SELECT user_id, event_type, max(ts) AS hit, min(ts) AS made FROM {events} GROUP BY user_id, event_type), r AS (SELECT *, row_number() OVER (ORDER BY hit DESC, made DESC, user_id, event_type) AS k FROM l CROSS JOIN lim WHERE hit >= @minus_days(now; 7)) SELECT user_id, event_type, hit FROM r WHERE k <= 50"),
     "k7_offset": Query("SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40"),
     "e3_keep_first": Query("WITH r AS (SELECT event_id, user_id, props, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS k FROM {events}) SELECT event_id, user_id, props FROM r WHERE k = 1"),
-    "f2_detect_provider": Query("SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD%' THEN 'anthropic' WHEN p_type LIKE 'PROMO%' THEN 'google' ELSE 'openai' END AS provider FROM {part}"),
+    "f3_detect_provider": Query("SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD%' THEN 'anthropic' WHEN p_type LIKE 'PROMO%' THEN 'google' ELSE 'openai' END AS provider FROM {part}"),
     "f10_prefix_alignment": Query("SELECT charge_id, CASE WHEN tokens_in < 1024 THEN 0 ELSE 1024 + CAST(floor((tokens_in - 1024) / 128e0) AS BIGINT) * 128 END AS aligned FROM {charges}"),
     "f20_budget_decision": Query("WITH s AS (SELECT agent_id, sum(cost_usd) AS spent FROM {charges} GROUP BY agent_id) SELECT agent_id, CASE WHEN spent > 2000000e0 THEN 'block' WHEN spent > 1500000e0 THEN 'warn' ELSE 'allow' END AS decision FROM s"),
     "f21_slo_breaker": Query("WITH s AS (SELECT provider, sum(greatest(0e0, cost_usd - 60000e0)) AS excess FROM {charges} GROUP BY provider) SELECT provider, CASE WHEN 10000000e0 - excess <= 0 THEN 'block' WHEN 10000000e0 - excess <= 5000000e0 THEN 'warn' ELSE 'allow' END AS decision FROM s"),
@@ -35,8 +35,6 @@ QUERIES = {
     "q3_two_proportions": Query("""WITH s AS (SELECT sum(CASE WHEN lang = 'en' THEN 1e0 ELSE 0e0 END) AS n1, sum(CASE WHEN lang = 'en' THEN CAST(quality AS DOUBLE) ELSE 0e0 END) AS x1, sum(CASE WHEN lang <> 'en' THEN 1e0 ELSE 0e0 END) AS n2, sum(CASE WHEN lang <> 'en' THEN CAST(quality AS DOUBLE) ELSE 0e0 END) AS x2 FROM {labels} JOIN {documents} USING (doc_id))
         SELECT n1, n2, round((x1 / n1 - x2 / n2) / sqrt(((x1 + x2) / (n1 + n2)) * (1 - (x1 + x2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 6) AS z FROM s"""),
     "t1_token_estimate": Query("SELECT doc_id, CAST(ceil(length(text) / 4e0) AS BIGINT) AS tokens, CAST(ceil(length(text) / 3e0) AS BIGINT) AS code_tokens FROM {documents}"),
-    "t10_injection_scan": Query("""SELECT page_id, CASE WHEN @rx(lower(html); 'ignore (all )?(previous|prior) instructions') THEN 1 ELSE 0 END AS override, CASE WHEN @rx(lower(html); 'display: ?none|visibility: ?hidden') THEN 1 ELSE 0 END AS hidden_html, CASE WHEN @rx(html; '\\\\.\\\\./') THEN 1 ELSE 0 END AS traversal FROM {pages}""", own="""SELECT page_id, CASE WHEN @rx(lower(html); 'ignore (all )?(previous|prior) instructions') THEN 1 ELSE 0 END AS override, CASE WHEN @rx(lower(html); 'display: ?none|visibility: ?hidden') THEN 1 ELSE 0 END AS hidden_html, CASE WHEN @rx(html; '\\.\\./') THEN 1 ELSE 0 END AS traversal FROM {pages}"""),
-    "t11_secret_scan": Query("SELECT doc_id, CAST(@matches(text; 'token = \"[0-9a-f]{{40}}\"') AS BIGINT) AS secrets FROM {documents}"),
     "t18_freshness": Query("SELECT doc_id, @sha(text) AS digest FROM {documents}"),
     "r5_in_degree": Query("SELECT dst, count(DISTINCT src) AS in_degree FROM {edges} GROUP BY dst"),
     "r7_keyword_search": Query(f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), s AS (SELECT q.item_id, w.doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY q.item_id, w.doc_id),

@@ -7,10 +7,6 @@ QUERIES = {
         SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS started, max(ts) AS ended, count(*) AS events, round(sum(value), 4) AS spend FROM s GROUP BY user_id, session"""),
     "w2_turn_segments": Query("""WITH t AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM {turns})
         SELECT conv_id, CAST(segment AS BIGINT) AS segment, count(*) AS messages, CAST(sum(tokens) AS BIGINT) AS tokens, min(turn) AS first_turn FROM t WHERE segment > 0 GROUP BY conv_id, segment"""),
-    "w5_low_streaks": Query("""WITH t AS (SELECT *, CASE WHEN tokens < 40 THEN 1 ELSE 0 END AS low FROM {turns}), g AS (SELECT *, sum(1 - low) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM t)
-        SELECT conv_id, turn, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS running_tokens, CAST(sum(low) OVER (PARTITION BY conv_id, island ORDER BY turn) AS BIGINT) AS streak FROM g"""),
-    "w6_loop_blocks": Query("""WITH t AS (SELECT *, CASE WHEN tokens < 40 THEN 1 ELSE 0 END AS low FROM {turns}), g AS (SELECT *, sum(1 - low) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM t), s AS (SELECT conv_id, turn, sum(low) OVER (PARTITION BY conv_id, island ORDER BY turn) AS streak FROM g)
-        SELECT conv_id, min(turn) AS blocked_at FROM s WHERE streak >= 3 GROUP BY conv_id"""),
     "w7_context_fill": Query("""SELECT c.charge_id, CASE WHEN p.context IS NULL OR p.context <= 0 THEN NULL ELSE round(least(1e0, greatest(0e0, (c.tokens_in + 0.5e0 * c.tokens_cached + c.tokens_out) / p.context)), 8) END AS fill, p.context IS NULL AS unknown_window FROM {charges} c LEFT JOIN {prices} p ON c.model = p.model"""),
     "w8_cusum": Query("""WITH x AS (SELECT user_id, event_id, ts, value / 100e0 AS x FROM {events}), c AS (SELECT *, sum(x - 0.5e0) OVER w AS up, sum(x - 0.75e0) OVER w AS high FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT *, up - least(0e0, min(up) OVER w) AS s_warn, high - least(0e0, min(high) OVER w) AS s_crit FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
