@@ -61,11 +61,11 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, directed
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.where("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50 + 100000).alias("dst")).distinct()
+    return lines.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000_000).alias("dst")).distinct()
 
 
 def r1_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pagerank(_edges(spark, sf_dir), tolerance=1e-9).select("id", F.round("rank", 6).alias("rank"))
+    return pagerank(_edges(spark, sf_dir), tolerance=1e-9).select("id", F.round("rank", 8).alias("rank"))
 
 
 def r3_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +73,11 @@ def r3_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(edges, edges.agg(F.min("src").alias("id")), directed=False).withColumn("distance", F.col("distance").cast("long"))
 
 
-#: The graph has edges from suppliers to part groups alone, so the fixed point has a closed form: groups send nothing.
-R1_SQL = """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 50 + 100000 AS dst FROM lineitem WHERE l_linenumber = 1), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v), d AS (SELECT src, count(*) AS d FROM e GROUP BY src),
+#: The graph has edges from suppliers to parts alone, so the fixed point has a closed form: parts send nothing.
+R1_SQL = """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000000 AS dst FROM lineitem), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v), d AS (SELECT src, count(*) AS d FROM e GROUP BY src),
   g AS (SELECT dst AS id, sum(1e0 / d) AS g FROM e JOIN d ON e.src = d.src GROUP BY dst), w AS (SELECT v.id, 1e0 + 0.85e0 * coalesce(g, 0e0) AS w FROM v LEFT JOIN g ON v.id = g.id)
-  SELECT id, round(w / sum(w) OVER (), 6) AS rank FROM w"""
-R3_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 50 + 100000 AS dst FROM lineitem WHERE l_linenumber = 1), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, distance) AS (SELECT min(src), 0 FROM e UNION SELECT b.dst, r.distance + 1 FROM r JOIN b ON b.src = r.id WHERE r.distance < 8)
+  SELECT id, round(w / sum(w) OVER (), 8) AS rank FROM w"""
+R3_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000000 AS dst FROM lineitem), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, distance) AS (SELECT min(src), 0 FROM e UNION SELECT b.dst, r.distance + 1 FROM r JOIN b ON b.src = r.id WHERE r.distance < 8)
   SELECT id, CAST(min(distance) AS BIGINT) AS distance FROM r WHERE id IS NOT NULL GROUP BY id"""
 QUERIES = {"r1_pagerank": r1_pagerank, "r3_distances": r3_distances}
 ORACLE_SQL = {"r1_pagerank": R1_SQL, "r3_distances": R3_SQL}

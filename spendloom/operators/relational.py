@@ -14,7 +14,8 @@ QUERIES = {
     "j2_strict_price": Query("SELECT c.charge_id, CASE WHEN p.model IS NULL THEN NULL ELSE round((greatest(0, c.tokens_in - c.tokens_cached) * p.in_usd + c.tokens_cached * coalesce(p.cached_usd, p.in_usd) + c.tokens_out * p.out_usd) / 1e6, 9) END AS cost FROM {charges} c LEFT JOIN {prices} p ON c.model = p.model"),
     "g2_lenient_price": Query("SELECT c.charge_id, round((c.tokens_in * coalesce(p.in_usd, 3e0) + c.tokens_out * coalesce(p.out_usd, 15e0)) / 1e6, 9) AS cost, p.model IS NOT NULL AS exact FROM {charges} c LEFT JOIN {prices} p ON c.model = p.model"),
     "j4_lost_entities": Query("SELECT DISTINCT a.p_brand, a.p_type FROM {part} a LEFT ANTI JOIN (SELECT p_brand, p_type FROM {part} WHERE p_size > 25) b ON a.p_brand = b.p_brand AND lower(a.p_type) = lower(b.p_type)", own="SELECT DISTINCT p_brand, p_type FROM {part} a WHERE NOT EXISTS (SELECT 1 FROM {part} b WHERE b.p_size > 25 AND a.p_brand = b.p_brand AND lower(a.p_type) = lower(b.p_type))"),
-    "j5_surviving_edges": Query("SELECT src, dst FROM {edges} LEFT SEMI JOIN {supplier} ON src = s_suppkey WHERE src % 2 = 0", own="SELECT src, dst FROM {edges} WHERE src IN (SELECT s_suppkey FROM {supplier}) AND src % 2 = 0"),
+    "j5_surviving_edges": Query("SELECT src, dst FROM {edges} e LEFT SEMI JOIN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0) s ON e.src = s.s_suppkey LEFT SEMI JOIN (SELECT p_partkey + 1000000000000 AS node FROM {part} WHERE p_size >= 10) p ON e.dst = p.node",
+        own="SELECT src, dst FROM {edges} WHERE src IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0) AND dst - 1000000000000 IN (SELECT p_partkey FROM {part} WHERE p_size >= 10)"),
     "j6_symbol_edges": Query("SELECT DISTINCT a.l_suppkey AS src, b.ps AS dst FROM {lineitem} a JOIN (SELECT l_partkey AS pk, min(l_suppkey) AS ps FROM {lineitem} GROUP BY l_partkey) b ON a.l_partkey = b.pk WHERE a.l_suppkey <> b.ps"),
     "j8_skill_overlap": Query(f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), nd AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), nq AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), c AS (SELECT item_id, doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY item_id, doc_id),
         s AS (SELECT c.item_id, c.doc_id, CAST(c AS DOUBLE) / (nd.n + nq.n - c) AS sim FROM c JOIN nd ON c.doc_id = nd.doc_id JOIN nq ON c.item_id = nq.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS k FROM s WHERE sim >= 0.5e0) SELECT item_id, doc_id, round(sim, 6) AS sim FROM r WHERE k <= 5"""),
@@ -39,7 +40,6 @@ QUERIES = {
     "r5_in_degree": Query("SELECT dst, count(DISTINCT src) AS in_degree FROM {edges} GROUP BY dst"),
     "r7_keyword_search": Query(f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), s AS (SELECT q.item_id, w.doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY q.item_id, w.doc_id),
         r AS (SELECT s.item_id, doc_id, CAST(c AS DOUBLE) / n AS score, row_number() OVER (PARTITION BY s.item_id ORDER BY CAST(c AS DOUBLE) / n DESC, doc_id) AS k FROM s JOIN n ON s.item_id = n.item_id) SELECT item_id, doc_id, round(score, 6) AS score FROM r WHERE k <= 10"""),
-    "s20_focus_export": Query("SELECT charge_id AS ChargeId, provider AS ProviderName, model AS SkuId, round(cost_usd, 4) AS BilledCost, 'USD' AS BillingCurrency, tokens_in + tokens_out AS ConsumedQuantity, CASE WHEN tokens_in + tokens_out > 0 THEN round(cost_usd / ((tokens_in + tokens_out) / 1e6), 4) END AS UnitPrice FROM {charges}"),
     "x3_tumbling": Query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS spend FROM {events} GROUP BY CAST(ts AS DATE), event_type"),
     "s18_churn": Query("SELECT l_partkey AS path, count(DISTINCT l_orderkey) AS commits FROM {lineitem} GROUP BY l_partkey"),
 }

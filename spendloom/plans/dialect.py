@@ -40,7 +40,7 @@ VIEWS = {
         CAST(floor(l_discount * 1000) AS BIGINT) * 10 AS tokens_read, CASE WHEN l_returnflag = 'R' THEN 'rejected' WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_orderstatus = 'P' THEN 'retry' ELSE 'pending' END AS outcome
       FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "turns": """SELECT conv_id, turn, role, text, CAST(ceil(length(coalesce(text, '')) / 4e0) AS BIGINT) AS tokens FROM {conversations}""",
-    "edges": """SELECT DISTINCT l_suppkey AS src, l_partkey % 50 + 100000 AS dst FROM {lineitem} WHERE l_linenumber = 1""",
+    "edges": """SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000000 AS dst FROM {lineitem}""",
 }
 
 
