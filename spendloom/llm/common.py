@@ -65,6 +65,10 @@ class Tables:
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(hadoop).delete(at, True)
 
+    def rest(self) -> None:
+        """Lets the driver's JVM give back what plans and results of finished steps held; its heap grows with many plans otherwise."""
+        self.spark.sparkContext._jvm.java.lang.System.gc()
+
     def drop_but(self, *tables: DataFrame) -> None:
         held = set(map(id, tables))
         self.drop(*[x for k, (x, _) in list(self.paths.items()) if k not in held])

@@ -43,7 +43,7 @@ class Index:
     """Row numbers of keys in an open-addressed table: -1 for a key that isn't held."""
 
     def __init__(self, held: np.ndarray):
-        bits = max(4, int(len(held) * 4).bit_length())
+        bits = max(4, int(len(held) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.rows = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
         at, left = self._home(held), np.arange(len(held))
@@ -251,7 +251,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     """
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # some 15 MB a language at MAX_GRAMS
+    held = spark.sparkContext.broadcast(model)  # some 10 MB a language at MAX_GRAMS
     base = docs.drop(*names)
     schema = T.StructType([*base.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = base.columns.index("text")

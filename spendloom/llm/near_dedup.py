@@ -113,8 +113,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
     least = np.full(SAMPLES, ~_U(0))
-    for at in range(0, len(shingles), 1 << 14):
-        least = np.minimum(least, ((shingles[at : at + (1 << 14), None] ^ _B) * _A).min(0))
+    for at in range(0, len(shingles), 1 << 10):  # 1.5 MB at a time
+        least = np.minimum(least, ((shingles[at : at + (1 << 10), None] ^ _B) * _A).min(0))
     return least
 
 
@@ -332,6 +332,7 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             old, rest = rest, tables.keep(at.select("key", "doc", "degree", "comp", (-F.col("best.least")).alias("pivot"), F.col("best.comp").alias("pivot_comp")), "open")
             if old is not None:
                 tables.drop(old)
+            tables.rest()
             if rest.isEmpty():
                 break
             if turn < ROUNDS:
