@@ -198,8 +198,8 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (doc, pivot) whose full sets are similar enough."""
-    both = pairs.join(sets, "doc").withColumnRenamed("shingles", "sa")
-    both = attach(both, ["pivot"], sets.withColumnsRenamed({"doc": "pivot", "shingles": "sb"}), ["doc"]).select("doc", "pivot", "sa", "sb")
+    both = attach(pairs, ["pivot"], sets.withColumnsRenamed({"doc": "pivot", "shingles": "sb"}), ["doc"])
+    both = both.join(sets.withColumnRenamed("shingles", "sa"), "doc").select("doc", "pivot", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +211,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def sketch_filter(pairs: DataFrame, sketches: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (doc, pivot) whose sketches differ in few enough bits."""
-    both = pairs.join(sketches.withColumnRenamed("sketch", "xa"), "doc")
-    both = attach(both, ["pivot"], sketches.withColumnsRenamed({"doc": "pivot", "sketch": "xb"}), ["doc"])
+    both = attach(pairs, ["pivot"], sketches.withColumnsRenamed({"doc": "pivot", "sketch": "xb"}), ["doc"])
+    both = both.join(sketches.withColumnRenamed("sketch", "xa"), "doc")
     differing = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     return both.where(differing <= most_differing(threshold)).select("doc", "pivot")
 
@@ -223,11 +223,11 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     before = None
     while True:
         both = with_groups(e.union(e.select("v", "u")), ["u"], {"m": (F.min, "v")}, ["v"]).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = tables.keep(both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         small = with_groups(large, ["u"], {"m": (F.min, "v")}, ["v"])
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         old, e = e, tables.keep(small, "stars")
-        tables.drop(old)
+        tables.drop(old, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -236,8 +236,8 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
 
 def relabel(labels: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
     """labels (doc, comp) after joining the components that links (doc, pivot) of documents join."""
-    at = links.join(labels.withColumnRenamed("comp", "a"), "doc")
-    at = attach(at, ["pivot"], labels.withColumnsRenamed({"doc": "pivot", "comp": "b"}), ["doc"])
+    at = attach(links, ["pivot"], labels.withColumnsRenamed({"doc": "pivot", "comp": "b"}), ["doc"])
+    at = at.join(labels.withColumnRenamed("comp", "a"), "doc")
     roots = components(at.select("a", "b"), tables)
     out = attach(labels, ["comp"], roots.withColumnRenamed("node", "comp"), ["doc"], "left")
     return tables.keep(out.select("doc", F.coalesce("root", "comp").alias("comp")), "labels")
@@ -332,16 +332,20 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             old, rest = rest, tables.keep(at.select("key", "doc", "degree", "comp", (-F.col("best.least")).alias("pivot"), F.col("best.comp").alias("pivot_comp")), "open")
             if old is not None:
                 tables.drop(old)
-            tables.rest()
             if rest.isEmpty():
                 break
             if turn < ROUNDS:
                 pairs = rest.where("doc <> pivot and comp <> pivot_comp").select("doc", "pivot").distinct()
-                links = confirm(sketch_filter(pairs, sketches, threshold), sets, threshold)
+                pairs = tables.keep(pairs, "pairs")
+                likely = tables.keep(sketch_filter(pairs, sketches, threshold), "likely")
+                tables.drop(pairs)
+                links = confirm(likely, sets, threshold)
                 members = rest.where("doc <> pivot").select("key", "doc", "degree")
             else:
                 links = _in_blocks(rest.select("key", "doc", "comp"), sketches, sets, threshold)
             links = tables.keep(links, "links")
+            if turn < ROUNDS:
+                tables.drop(likely)
             if not links.isEmpty():
                 labels = relabel(labels, links, tables)
             tables.drop(links)
