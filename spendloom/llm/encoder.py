@@ -112,3 +112,8 @@ def encoder(path: str) -> Encoder:
     if path not in _held:
         _held[path] = Encoder(path)
     return _held[path]
+
+
+def release() -> None:
+    """Forgets all encoders and what they remember: for tasks of other operators that a worker process goes on to."""
+    _held.clear()

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import encoder
 from .common import Tables, slices, small_batches, table
 
 ORDER = 4
@@ -113,6 +114,7 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.release()
         for b in batches:
             for rows in slices(b, 1):
                 langs, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
@@ -257,6 +259,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     at = base.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.release()
         model = held.value
         for b in batches:
             for rows in slices(b, at):

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import encoder
 from .common import Tables, attach, free_name, slices, small_batches, table, with_groups
 
 WORDS = 5
@@ -159,6 +160,7 @@ def signatures(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     count = band_count(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.release()
         for b in batches:
             for rows in slices(b, 1):
                 sets = shingle_sets(rows.column(1).to_pylist())
@@ -184,6 +186,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """(doc, shingles): sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.release()
         for b in batches:
             for rows in slices(b, 1):
                 yield pa.record_batch([rows.column(0), pa.array([s.tobytes() for s in shingle_sets(rows.column(1).to_pylist())], pa.binary())], names=["doc", "shingles"])
