@@ -97,7 +97,7 @@ def j7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = nearest(v, v.where("vec_id % 20 = 0"))
     label = v.select(F.col("vec_id").alias("id"), "label")
     both = best.join(label.withColumnsRenamed({"id": "query_id", "label": "a"}), "query_id").join(label.withColumnsRenamed({"id": "vec_id", "label": "b"}), "vec_id")
-    return both.select("query_id", "vec_id", F.round("cosine", 5).alias("cosine"), (F.col("cosine") >= 0.92).alias("hit"), (F.col("a") == F.col("b")).alias("fresh"))
+    return both.select("query_id", "vec_id", "cosine", (F.col("cosine") >= 0.92).alias("hit"), (F.col("a") == F.col("b")).alias("fresh"))
 
 
 def r2_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ QUERIES = {f.__name__: f for f in (j7_nearest, r2_slice, r4_pull_or_push)}
 _EDGES = """l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT src, dst FROM (SELECT p AS src, lead(p) OVER (PARTITION BY o ORDER BY p) AS dst FROM l) x WHERE dst IS NOT NULL)"""
 ORACLE_SQL = {
     "j7_nearest": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS c, a.label = b.label AS fresh FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS k FROM s)
-        SELECT query_id, vec_id, round(c, 5) AS cosine, c >= 0.92 AS hit, fresh FROM r WHERE k = 1""",
+        SELECT query_id, vec_id, c AS cosine, c >= 0.92 AS hit, fresh FROM r WHERE k = 1""",
     "r2_slice": "WITH RECURSIVE " + _EDGES + """, r(id, d) AS (SELECT min(p_partkey), 0 FROM part UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.id WHERE r.d < 3), m AS (SELECT id, min(d) AS d FROM r GROUP BY id), o AS (SELECT id, CAST(p_size AS BIGINT) AS tokens, row_number() OVER (ORDER BY d, p_size, id) AS i FROM m JOIN part ON p_partkey = id),
         g AS (SELECT id, tokens, i, tokens <= 400 AS included, CASE WHEN tokens <= 400 THEN tokens ELSE 0 END AS running FROM o WHERE i = 1 UNION ALL SELECT o.id, o.tokens, o.i, g.running + o.tokens <= 400, g.running + CASE WHEN g.running + o.tokens <= 400 THEN o.tokens ELSE 0 END FROM g JOIN o ON o.i = g.i + 1)
         SELECT id AS item, tokens, included, CAST(running AS BIGINT) AS running FROM g""",
