@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .operators import decisions, folds, gates, graphs, neighbours, relational, roi, scanners, sequences, spend
+from .operators import decisions, folds, gates, graphs, neighbours, planners, relational, roi, scanners, sequences, spend
 from .plans.dialect import bind
 
 QUERIES, ORACLE_SQL = bind(spend.QUERIES | sequences.QUERIES | relational.QUERIES | decisions.QUERIES | gates.QUERIES)
 QUERIES |= graphs.QUERIES
 ORACLE_SQL |= graphs.ORACLE_SQL
-for module in (folds, neighbours, roi, scanners):
+for module in (folds, neighbours, planners, roi, scanners):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

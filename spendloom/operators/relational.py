@@ -4,6 +4,13 @@ from ..plans.dialect import Query
 
 _WORDS = "SELECT doc_id, @wordset(text) AS w FROM {documents}"
 
+_UP = """parents AS (SELECT n_name AS child, r_name AS parent FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'fleet' FROM {region}), up AS (SELECT child AS base, child AS envelope, 0 AS hops FROM parents UNION ALL SELECT up.base, p.parent, up.hops + 1 FROM up JOIN parents p ON p.child = up.envelope WHERE up.hops < 16)"""
+#: Half of an item's words must be shared, so one of its rarest half and one more is: these alone propose pairs, which whole word sets confirm.
+_J8 = """WITH d AS (SELECT doc_id, array_distinct(filter(split(lower(text), '[^a-z0-9]+'), x -> x <> '')) AS ws FROM {documents}), q AS (SELECT item_id, array_distinct(filter(split(lower(text), '[^a-z0-9]+'), x -> x <> '')) AS ws FROM {benchmark}), qw AS (SELECT item_id, size(ws) AS n, explode(ws) AS w FROM q),
+  df AS (SELECT w, count(*) AS df FROM (SELECT explode(ws) AS w FROM d) LEFT SEMI JOIN qw USING (w) GROUP BY w), r AS (SELECT item_id, n, qw.w, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), qw.w) AS k FROM qw LEFT JOIN df ON qw.w = df.w), p AS (SELECT item_id, n, w FROM r WHERE k <= n - ceil(n / 2e0) + 1),
+  c AS (SELECT DISTINCT p.item_id, doc_id FROM (SELECT doc_id, size(ws) AS m, explode(ws) AS w FROM d) x JOIN p ON x.w = p.w AND 2 * m >= n AND 2 * n >= m), s AS (SELECT c.item_id, c.doc_id, size(array_intersect(d.ws, q.ws)) AS c, size(d.ws) + size(q.ws) AS t FROM c JOIN d ON c.doc_id = d.doc_id JOIN q ON c.item_id = q.item_id),
+  k AS (SELECT item_id, doc_id, CAST(c AS DOUBLE) / (t - c) AS sim, row_number() OVER (PARTITION BY item_id ORDER BY CAST(c AS DOUBLE) / (t - c) DESC, doc_id) AS k FROM s WHERE CAST(c AS DOUBLE) / (t - c) >= 0.5e0) SELECT item_id, doc_id, round(sim, 6) AS sim FROM k WHERE k <= 5"""
+
 QUERIES = {
     "p1_point_lookup": Query("SELECT s_suppkey, s_name, s_acctbal FROM {supplier} WHERE s_suppkey = 7 LIMIT 1"),
     "p2_time_range": Query("SELECT event_id, ts FROM {events} WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 00:00:00'"),
@@ -17,14 +24,15 @@ QUERIES = {
     "j5_surviving_edges": Query("SELECT src, dst FROM {edges} e LEFT SEMI JOIN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0) s ON e.src = s.s_suppkey LEFT SEMI JOIN (SELECT p_partkey + 1000000000000 AS node FROM {part} WHERE p_size >= 10) p ON e.dst = p.node",
         own="SELECT src, dst FROM {edges} WHERE src IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0) AND dst - 1000000000000 IN (SELECT p_partkey FROM {part} WHERE p_size >= 10)"),
     "j6_symbol_edges": Query("SELECT DISTINCT a.l_suppkey AS src, b.ps AS dst FROM {lineitem} a JOIN (SELECT l_partkey AS pk, min(l_suppkey) AS ps FROM {lineitem} GROUP BY l_partkey) b ON a.l_partkey = b.pk WHERE a.l_suppkey <> b.ps"),
-    "j8_skill_overlap": Query(f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), nd AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), nq AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), c AS (SELECT item_id, doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY item_id, doc_id),
+    "j8_skill_overlap": Query(_J8, own=f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), nd AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), nq AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), c AS (SELECT item_id, doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY item_id, doc_id),
         s AS (SELECT c.item_id, c.doc_id, CAST(c AS DOUBLE) / (nd.n + nq.n - c) AS sim FROM c JOIN nd ON c.doc_id = nd.doc_id JOIN nq ON c.item_id = nq.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS k FROM s WHERE sim >= 0.5e0) SELECT item_id, doc_id, round(sim, 6) AS sim FROM r WHERE k <= 5"""),
     "j10_divergence": Query("SELECT coalesce(a.user_id, b.user_id - 1) AS pair, min(CASE WHEN a.event_type IS NULL OR b.event_type IS NULL OR a.event_type <> b.event_type THEN coalesce(a.i, b.i) END) AS diverges_at FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {events} WHERE user_id % 2 = 0) a FULL JOIN (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {events} WHERE user_id % 2 = 1) b ON a.user_id = b.user_id - 1 AND a.i = b.i GROUP BY coalesce(a.user_id, b.user_id - 1)"),
-    "j11_ancestor_charges": Query("""WITH RECURSIVE parents AS (SELECT n_name AS child, r_name AS parent FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'fleet' FROM {region}), up AS (SELECT child AS base, child AS envelope, 0 AS hops FROM parents UNION ALL SELECT up.base, p.parent, up.hops + 1 FROM up JOIN parents p ON p.child = up.envelope WHERE up.hops < 16)
+    "j11_ancestor_charges": Query("WITH RECURSIVE " + _UP + """, c AS (SELECT nation, sum(CAST(cost_usd AS DECIMAL(18, 4))) AS cost, count(*) AS n FROM {charges} GROUP BY nation)
+        SELECT envelope, hops, CAST(sum(cost) AS DOUBLE) AS cost, sum(n) AS n FROM c JOIN up ON nation = base GROUP BY envelope, hops""", own="WITH RECURSIVE " + _UP + """
         SELECT envelope, hops, CAST(sum(CAST(cost_usd AS DECIMAL(18, 4))) AS DOUBLE) AS cost, count(*) AS n FROM {charges} JOIN up ON nation = base GROUP BY envelope, hops"""),
     "k1_latest": Query("SELECT event_id, ts FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 100"),
     "k4_top_by_group": Query("WITH r AS (SELECT c_mktsegment, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM {customer}) SELECT c_mktsegment, c_custkey, c_acctbal, CAST(k AS BIGINT) AS k FROM r WHERE k <= 10"),
-    "k5_lru": Query("WITH lim AS (SELECT max(ts) AS now FROM {events}), l AS (SELECT user_id, event_type, max(ts) AS hit, min(ts) AS made FROM {events} GROUP BY user_id, event_type), r AS (SELECT *, row_number() OVER (ORDER BY hit DESC, made DESC, user_id, event_type) AS k FROM l CROSS JOIN lim WHERE hit >= @minus_days(now; 7)) SELECT user_id, event_type, hit FROM r WHERE k <= 50"),
+    "k5_lru": Query("WITH lim AS (SELECT max(ts) AS now FROM {events}), l AS (SELECT user_id, event_type, max(ts) AS hit, min(ts) AS made FROM {events} GROUP BY user_id, event_type), r AS (SELECT user_id, event_type, hit, made FROM l CROSS JOIN lim WHERE hit >= @minus_days(now; 7)) SELECT user_id, event_type, hit FROM r ORDER BY hit DESC, made DESC, user_id, event_type LIMIT 50"),
     "k7_offset": Query("SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40"),
     "e3_keep_first": Query("WITH r AS (SELECT event_id, user_id, props, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS k FROM {events}) SELECT event_id, user_id, props FROM r WHERE k = 1"),
     "f3_detect_provider": Query("SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD%' THEN 'anthropic' WHEN p_type LIKE 'PROMO%' THEN 'google' ELSE 'openai' END AS provider FROM {part}"),
