@@ -159,8 +159,8 @@ def units(text: str) -> list[tuple[int, int, bool]]:
     found = [(int(white[i - 1]) + 1, int(white[i]), False) for i in at]
     over = -1
     for i in np.flatnonzero(spaced).tolist():
-        # Figures alone are no word: half of the signs must be letters.
-        if i >= over and (m := SPACED.match(text, i)) and 4 * int(letter[i : m.end()].sum()) > m.end() - i:
+        # Figures alone are no word: some of the signs must be letters.
+        if i >= over and (m := SPACED.match(text, i)) and 5 * int(letter[i : m.end()].sum()) > m.end() - i:
             found.append((i, m.end(), True))
             over = m.end()
     out: list[tuple[int, int, bool]] = []
