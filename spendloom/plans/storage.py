@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df under spark.checkpoint.dir (where unset, as in local runs, a temporary folder is set) and reads it again."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path under spark.checkpoint.dir (where unset, as in local runs, a temporary folder is set)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spendloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df to a new folder and reads it again."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
