@@ -26,8 +26,8 @@ from .common import Tables, slices, small_batches, table
 ORDER = 4
 #: Training documents of each language: about this many, by the hash of doc_id (the documented bound of the fit).
 SAMPLE_DOCS = 1_500
-#: Longest grams of a language: those seen too rarely to be among this many are left out of its tree (a documented bound of the fit).
-MAX_GRAMS = 200_000
+#: Longest grams that the sample may have in all: some 80 bytes each are sent to every worker. More is an error, not cut.
+MOST_GRAMS = 20_000_000
 #: Languages whose costs are looked up together.
 GROUP = 8
 UNIT = 1024
@@ -178,8 +178,8 @@ def freeze(grams: list[tuple[str, np.ndarray, np.ndarray]], order: int = ORDER)
     return Group([g[0] for g in grams], [(None, np.full((1, len(grams)), 8 * UNIT, np.int32), root), *levels])
 
 
-def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, max_grams: int = MAX_GRAMS) -> Model:
-    """Fits on rows with text and lang: about sample_docs whole texts for each language, chosen by a hash of doc_id, and max_grams longest grams."""
+def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Fits on rows with text and lang: about sample_docs whole texts for each language, chosen by a hash of doc_id, and all their grams."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = {r[0]: sample_docs / r[1] for r in docs.groupBy("lang").count().collect()}
     if not shares:
@@ -188,13 +188,9 @@ def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, m
     share = F.element_at(F.create_map(*[F.lit(x) for p in shares.items() for x in p]), F.col("lang"))
     tables = Tables(docs.sparkSession)
     seen = tables.keep(counts(docs.where(draw < share), order), "grams")
-    least, held = dict.fromkeys(shares, 1), dict.fromkeys(shares, 0)
-    for r in sorted(seen.groupBy("lang", F.least("n", F.lit(1 << 20)).alias("n")).count().collect(), key=lambda r: -r["n"]):
-        held[r["lang"]] += r["count"]
-        if held[r["lang"]] > max_grams and least[r["lang"]] == 1:
-            least[r["lang"]] = r["n"] + 1
-    floor = F.element_at(F.create_map(*[F.lit(x) for p in least.items() for x in p]), F.col("lang"))
-    grams = seen.where(F.col("n") >= floor).toArrow()  # max_grams rows for each language at most
+    if (n := seen.count()) > MOST_GRAMS:
+        raise ValueError(f"the sample has {n} grams, over {MOST_GRAMS}: lower sample_docs")
+    grams = seen.toArrow()
     tables.drop(seen)
     lang = np.array(grams["lang"].to_pylist(), object)
     gram, n = grams["gram"].to_numpy(), grams["n"].to_numpy()
@@ -253,7 +249,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     """
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # some 10 MB a language at MAX_GRAMS
+    held = spark.sparkContext.broadcast(model)  # MOST_GRAMS bounds it
     base = docs.drop(*names)
     schema = T.StructType([*base.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = base.columns.index("text")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from spendloom.llm import language as L
 
@@ -54,10 +55,13 @@ def test_index():
     assert L.Index(held[:0]).find(wanted[:3]).tolist() == [-1] * 3
 
 
-def test_rare_grams_go(spark):
+def test_all_grams_of_the_sample_count(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "abc abc abc xyz", "a"), (2, "q r s t u", "b")], "doc_id long, text string, lang string")
-    model = L.train(docs, max_grams=5)
-    assert L.code_lengths(["abc"], model)[0, 0] < L.code_lengths(["xyz"], model)[0, 0]
+    model = L.train(docs)
+    assert L.code_lengths(["abc"], model)[0, 0] < L.code_lengths(["xyz"], model)[0, 0] < L.code_lengths(["pno"], model)[0, 0]
+    monkeypatch.setattr(L, "MOST_GRAMS", 10)
+    with pytest.raises(ValueError, match="sample_docs"):
+        L.train(docs)
 
 
 def test_blocks_equal_whole(spark, sf_dir):

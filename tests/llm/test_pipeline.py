@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from spendloom.llm import mixing
 
 
@@ -25,6 +26,23 @@ def test_stages(spark, sf_dir):
     assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in held.collect())
 
 
+def test_language_decides(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    plain = lambda d: sorted(map(tuple, d.collect()), key=str)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert plain(P.identify_language(spark, unlabelled, sf_dir)) == plain(unlabelled.where(F.col("text").rlike(r"\p{L}")))
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
+    got = {r.doc_id: r.lang for r in P.identify_language(spark, hidden, sf_dir).collect()}
+    want = {r.doc_id: r.lang for r in docs.collect() if r.doc_id in got and len(r.text) > 40}
+    filled = [got[i] == want[i] for i in want if i % 4 == 0]
+    assert all(got[i] == want[i] for i in want if i % 4) and sum(filled) > 0.95 * len(filled) > 10
+
+
+def test_redaction_without_counts(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "mail a.b@c.de now", "x"), (2, None, "y")], "doc_id long, text string, kind string")
+    assert P.redact_pii(spark, docs, sf_dir).columns == docs.columns
+
+
 def test_near_copies_at_80(spark, sf_dir):
     words = [f"w{i}" for i in range(104)]
     near = words[:50] + ["x", "y"] + words[52:]  # 94 of 106 shingles
