@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from .operators import decisions, folds, gates, graphs, neighbours, planners, relational, roi, scanners, sequences, session_view, spend
+from .operators import decisions, folds, gates, graphs, neighbours, planners, quality, ranked, relational, roi, scanners, sequences, session_view, spend
 from .plans.dialect import bind
 from .sources import appended
 from .streaming import stateful
 
 QUERIES, ORACLE_SQL = bind(spend.QUERIES | sequences.QUERIES | relational.QUERIES | decisions.QUERIES | gates.QUERIES)
-QUERIES |= graphs.QUERIES
+QUERIES |= graphs.QUERIES | ranked.QUERIES
 ORACLE_SQL |= graphs.ORACLE_SQL
-for module in (folds, neighbours, planners, roi, scanners, session_view, appended, stateful):
+for module in (folds, neighbours, planners, quality, roi, scanners, session_view, appended, stateful):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
