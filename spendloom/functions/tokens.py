@@ -6,6 +6,7 @@ import base64
 from collections.abc import Callable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +45,6 @@ class Exact:
 
 def counted(text: Column, tokens: Tokens) -> Column:
     """A column of counts, batch by batch; null for null. The estimates need none: F.ceil(F.length(text) / 4) stays in the JVM."""
-    import pandas as pd
-
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else tokens(t)).astype("Int64")

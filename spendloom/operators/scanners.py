@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
+
 #: Injection patterns by category.
 INJECTIONS = {
     "shadowing": [
@@ -59,8 +64,17 @@ SECRETS = {
     "mysql_url": r"\bmysql://[^\s:@/]+:[^\s@]+@[^\s\"']+",
     "assigned_secret": r"(?i)\b(?:api_?key|password|secret|token)\s*[=:]\s*[\"'][A-Za-z0-9/+=_-]{16,}[\"']",
 }
+#: What a text must hold, in lower case, before the search for a kind is worth while.
+HINTS = {
+    "anthropic_api_key": ["sk-ant-"], "openai_api_key": ["sk-"], "openai_project_key": ["sk-proj-"], "github_token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], "github_fine_grained_token": ["github_pat_"],
+    "aws_access_key": ["akia", "asia"], "aws_secret_key": ["aws_secret"], "stripe_live_secret": ["sk_live_"], "stripe_live_public": ["pk_live_"], "stripe_restricted": ["rk_live_"],
+    "slack_token": ["xox"], "google_api_key": ["aiza"], "twilio_api_key": ["sk"], "sendgrid_api_key": ["sg."], "datadog_api_key": ["dd", "datadog"], "private_key_pem": ["private key-----"], "ssh_private_key": ["openssh private key"],
+    "postgres_url": ["://"], "mongodb_url": ["://"], "mysql_url": ["://"], "assigned_secret": ["\"", "'"],
+}
 #: Tokens long and mixed enough to be a key of an unknown kind.
 TOKEN, MIN_BITS = r"[A-Za-z0-9+/=_-]{24,}", 4.5
+#: So that a search begins only where a token does.
+BEGINS = r"(?<![A-Za-z0-9+/=_-])"
 
 
 def counted(text: Column, patterns: list[str]) -> Column:
@@ -77,13 +91,20 @@ def scan_injections(df: DataFrame, text: str, extra: dict[str, list[str]] | None
 
 
 def scan_secrets(df: DataFrame, text: str, patterns: dict[str, str] | None = None, warn_only: tuple[str, ...] = ("assigned_secret",)) -> DataFrame:
-    """df with kinds (sorted ids found), redacted (each match as [REDACTED:id]), mixed_tokens and verdict. A null text has none and stays null."""
+    """df with kinds (sorted ids found), redacted (each match as [REDACTED:id]), mixed_tokens and verdict. A null text has none and stays null.
+
+    A pattern of SECRETS is searched for where its hint stands; texts in which
+    none was found aren't rewritten.
+    """
     patterns = patterns or SECRETS
-    found = F.sort_array(F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(k)) for k, p in patterns.items()])))
+    low = F.lower(F.col(text))
+    hint = lambda k: reduce(or_, [low.contains(h) for h in HINTS[k]]) if patterns.get(k) == SECRETS.get(k) else F.lit(True)
+    found = F.sort_array(F.array_compact(F.array(*[F.when(hint(k) & F.col(text).rlike(p), F.lit(k)) for k, p in patterns.items()])))
     clean = F.col(text)
     for k, p in patterns.items():
         clean = F.regexp_replace(clean, p, f"[REDACTED:{k}]")
-    df = df.withColumns({"kinds": found, "redacted": clean, "mixed_tokens": F.coalesce(mixed_tokens(F.col(text)), F.lit(0))})
+    df = df.withColumns({"kinds": found, "mixed_tokens": F.coalesce(mixed_tokens(F.col(text)), F.lit(0))})
+    df = df.withColumn("redacted", F.when(F.size("kinds") > 0, clean).otherwise(F.col(text)))
     hard = F.size(F.array_except("kinds", F.array(*map(F.lit, warn_only)))) > 0
     return df.withColumn("verdict", F.when(hard, "block").when((F.size("kinds") > 0) | (F.col("mixed_tokens") > 0), "warn").otherwise("allow"))
 
@@ -100,7 +121,7 @@ def entropy(token: Column) -> Column:
 
 
 def mixed_tokens(text: Column) -> Column:
-    return F.size(F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: entropy(t) >= MIN_BITS))
+    return F.size(F.filter(F.regexp_extract_all(text, F.lit(BEGINS + TOKEN), F.lit(0)), lambda t: entropy(t) >= MIN_BITS))
 
 
 def t9_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +132,11 @@ def t9_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t10_injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_injections(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "html").drop("html")
+    return scan_injections(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id"), "html").drop("html")
 
 
 def t11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text")
+    d = scan_secrets(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id"), "text")
     return d.select("doc_id", F.array_join("kinds", ",").alias("kinds"), "verdict", F.md5(F.coalesce("redacted", F.lit("")).cast("binary")).alias("redacted_md5"))
 
 
