@@ -49,13 +49,16 @@ class Tables:
     """Tables written on the way to a result; those that nothing reads any more are dropped."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.kept = spark, {}, 0
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         path = new_folder(self.spark, tag)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
+        self.kept += 1
+        if self.kept % 4 == 0:
+            self.rest()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -65,6 +68,10 @@ class Tables:
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(hadoop).delete(at, True)
 
+    def rest(self) -> None:
+        """Lets the driver's JVM give back what plans and results of finished steps held; its heap grows with many plans otherwise."""
+        self.spark.sparkContext._jvm.java.lang.System.gc()
+
     def drop_but(self, *tables: DataFrame) -> None:
         held = set(map(id, tables))
         self.drop(*[x for k, (x, _) in list(self.paths.items()) if k not in held])
