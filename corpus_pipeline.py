@@ -70,4 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = tables.keep(stage(spark, docs, sf_dir), name)
         tables.drop_but(docs)
+        tables.rest()
     return STAGES[-1][1](spark, docs, sf_dir)
