@@ -16,7 +16,7 @@ from spendloom.catalog import QUERIES  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINES = ["a3_attribution_rollup", "a4_slo_sli", "a5_task_ledger", "a6_waste_memo", "a9_cache_metrics", "a14_identical_actions", "w1_sessions", "w8_cusum", "w12_silent_runs", "w17_edit_thrash", "j6_symbol_edges", "j8_skill_overlap", "j11_ancestor_charges", "t10_injection_scan", "t11_secret_scan", "r7_keyword_search", "r8_markov"]
+HEADLINES = ["a3_attribution_rollup", "a4_slo_sli", "a5_task_ledger", "a6_waste_memo", "a9_cache_metrics", "a14_identical_actions", "w1_sessions", "w8_cusum", "w12_silent_runs", "w17_edit_thrash", "j6_symbol_edges", "j8_skill_overlap", "j11_ancestor_charges", "t10_injection_scan", "t11_secret_scan", "r7_keyword_search", "r8_markov", "r1_pagerank", "w21_hash_chain", "w21_verify_chain"]
 RUNS = 3
 
 

@@ -10,9 +10,15 @@ from oracle import compare, connect  # noqa: E402
 from spendloom.catalog import ORACLE_SQL, QUERIES  # noqa: E402
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Without an SQL twin: tested against plain Python elsewhere.
+PLAIN = {"f40_diff_or_rewrite"}
+#: May have no rows in the smallest tables.
+SPARSE = {"j8_skill_overlap", "t9_entropy", "w12_silent_runs"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - PLAIN))
 def test_equals_sql(spark, sf_dir, name):
-    compare(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLE_SQL[name])
+    assert compare(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLE_SQL[name]) > 0 or name in SPARSE
 
 
 def test_entry(spark):
