@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .folds import packed
+from ..plans.storage import cut
 from .graphs import reach
+from .ranked import greedy
 
 #: Queries of a block: some 4 MB at 128 dimensions, the bound of what a task is sent.
 BLOCK = 4096
@@ -66,8 +67,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_: str = "vec_id", value:
 
 def sliced(edges: DataFrame, tokens: DataFrame, seeds: DataFrame, depth: int | None, budget: int) -> DataFrame:
     """item, tokens, included, running: what seeds reach, nearest first (then fewer tokens, then id), packed greedily under a budget."""
-    at = reach(edges, seeds, depth).join(tokens, "id").withColumn("slice", F.lit(0))
-    return packed(at, ["slice"], ["distance", "tokens", "id"], "tokens", "id", budget).drop("slice")
+    at = cut(reach(edges, seeds, depth).join(tokens, "id"), "slice")
+    return greedy(at, ["distance", "tokens", "id"], "tokens", budget).select(F.col("id").alias("item"), "tokens", "included", "running")
 
 
 def pull_or_push(edges: DataFrame, tokens: DataFrame, wanted: DataFrame, signature: float = 0.1) -> DataFrame:

@@ -47,6 +47,37 @@ def pareto(df: DataFrame, cost: str, quality: str) -> DataFrame:
     return fit.join(ahead.where(F.col("before").isNull() | (F.col(quality) > F.col("before"))).select(cost, quality), [cost, quality])
 
 
+def greedy(items: DataFrame, order: list[str], tokens: str, budget: int) -> DataFrame:
+    """items with included and running: taken in order while they fit what is left of the budget; one that doesn't is skipped and later ones may fit. order has no ties; null tokens count 0.
+
+    In rounds over running totals: a round takes all that fits before the first
+    item that doesn't. After it only items of at most what is left can ever be
+    taken, so the next round looks at those. The driver keeps that item and what
+    is left for each round. The last item of a round that stops is larger than
+    the rest, so rounds are few unless sizes fall slowly.
+    """
+    d = items.withColumn("_tokens", F.coalesce(F.col(tokens), F.lit(0)).cast("long")).withColumn("_key", F.struct(*order))
+    rounds: list[tuple[object, int]] = []  # the first item that doesn't fit (none: all do), and what the round had
+    left, after = budget, None
+    while True:
+        fit = d.where((F.col("_tokens") <= left) & (F.lit(True) if after is None else F.col("_key") > after))
+        ahead = running(fit.select(*order, "_tokens", "_key"), [F.col(c) for c in order], {"_before": (F.sum, "_tokens")})
+        before = F.coalesce("_before", F.lit(0))
+        stop = ahead.where(before + F.col("_tokens") > left).agg(F.min(F.struct("_key", before.alias("_before"))).alias("s")).first()["s"]
+        if stop is None:
+            rounds.append((None, left))
+            break
+        after = F.struct(*[F.lit(v).cast(d.schema[c].dataType).alias(c) for c, v in zip(order, stop["_key"])])
+        rounds.append((after, left))
+        left -= stop["_before"]
+    included = F.col("_tokens") <= rounds[-1][1]
+    for key, had in reversed(rounds[:-1]):
+        included = F.when(F.col("_key") < key, F.col("_tokens") <= had).when(F.col("_key") == key, F.lit(False)).otherwise(included)
+    marked = d.withColumn("included", included).withColumn("_taken", F.when(F.col("included"), F.col("_tokens")).otherwise(0))
+    out = running(marked.drop("_key"), [F.col(c) for c in order], {"_before": (F.sum, "_taken")})
+    return out.select(*items.columns, "included", (F.coalesce("_before", F.lit(0)) + F.col("_taken")).alias("running"))
+
+
 def a29_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("cost"), F.col("p_size").alias("quality"))
     return pareto(part, "cost", "quality").select("id", "cost", "quality")

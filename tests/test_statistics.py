@@ -117,6 +117,20 @@ def test_pareto(spark):
     assert {r.id for r in got} == best
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_greedy(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.randint(0, 5), i, rnd.choice([None, 0, rnd.randint(1, 60), rnd.randint(1, 9)])) for i in range(rnd.choice([0, 1, 90]))]
+    df = spark.createDataFrame(rows, "a int, id long, tokens int")
+    for budget in (0, 25, 170, 10_000):
+        used, want = 0, {}
+        for a, i, t in sorted(rows, key=lambda r: r[:2]):
+            fits = used + (t or 0) <= budget
+            used += (t or 0) * fits
+            want[i] = (fits, used)
+        assert {r.id: (r.included, r.running) for r in ranked.greedy(df, ["a", "id"], "tokens", budget).collect()} == want
+
+
 PAIRS = "control_accepted boolean, control_distance double, control_passed boolean, treatment_accepted boolean, treatment_distance double, treatment_passed boolean"
 
 
