@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Weights of a written file, passed tests, a resolved error; of a near repeat, the same files, the same errors.
+# Weights of a written file, passed tests, a resolved error; of a near repeat, the same files, the same errors.
 WRITTEN, TESTED, RESOLVED, REPEAT, SAME_FILES, SAME_ERRORS = 0.4, 0.3, 0.3, 0.5, 0.3, 0.2
 LOW, STREAK = 0.3, 3
+# What reports an error, and what a failure.
 ERRORS = [r"(?i)error:\s*(.+?)(?:\n|\z)", r"(?i)failed:\s*(.+?)(?:\n|\z)", r"(?i)exception:\s*(.+?)(?:\n|\z)"]
 FAILURES = [r"(?i)assertion\s+failed", r"(?i)test\s+failed"]
 

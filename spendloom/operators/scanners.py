@@ -155,8 +155,8 @@ def word_kinds(text: Column) -> dict[str, Column]:
     }
 
 
-#: Words too common to tell texts apart.
-COMMON = ["and", "are", "for", "from", "has", "not", "that", "the", "this", "was", "with"]
+# Words too common to tell tasks apart.
+COMMON = ["the", "and", "for", "with", "that", "this", "from", "have", "has", "are", "was", "will", "can", "you", "your", "please", "want", "need", "would", "should", "could", "into", "out", "but", "not", "all", "any", "how", "what", "when", "where", "why", "which", "who", "use", "using", "add", "get"]
 
 
 def t3_word_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ QUERIES = {f.__name__: f for f in (t3_word_kinds, t9_entropy, t10_injection_scan
 ORACLE_SQL = {
     "t3_word_kinds": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '\w+'), lambda x: length(x) > 1))) AS words,
         len(list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+'), lambda x: length(x) > 2))) AS parts,
-        len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), lambda x: x NOT IN ('and', 'are', 'for', 'from', 'has', 'not', 'that', 'the', 'this', 'was', 'with')))) AS terms,
+        len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), lambda x: x NOT IN (""" + ", ".join(f"'{w}'" for w in COMMON) + r""")))) AS terms,
         len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_$]{3,}'))) AS identifiers, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))) AS plain FROM d""",
     "t9_entropy": """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9+/=_-]{20,}')) AS token FROM documents), g AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY doc_id, token), c AS (SELECT doc_id, token, n, unnest(string_split(token, '')) AS c FROM g)
         SELECT doc_id, token, n, round(entropy(c), 6) AS bits FROM c GROUP BY doc_id, token, n HAVING round(entropy(c), 6) >= 3""",

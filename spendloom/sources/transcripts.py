@@ -40,7 +40,7 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, doubled quotes, nested values as JSON."""
+    """Header, lines that end in CR and LF, doubled quotes, nested values as JSON."""
     nested = {f.name for f in df.schema if f.dataType.typeName() in ("struct", "array", "map")}
     flat = df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns])
-    flat.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    flat.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("lineSep", "\r\n").csv(path)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.keyed import Folder
+
 
 def tail(spark: SparkSession, folder: str, schema: str, files: int = 100) -> DataFrame:
     """Parquet files as they appear; the checkpoint holds the offsets. ts becomes a TIMESTAMP, which watermarks need."""
@@ -26,9 +28,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 
 def keyed_sink(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: a batch that is run again overwrites its own folder, so keys aren't written twice by recovery."""
+    """A foreachBatch function that writes each key once: a batch that is run again overwrites its own folder, and keys of other batches are left out. Rows with a null key are always written.
+
+    The keys written so far are read for each batch; sources.keyed.KeyedTable
+    reads only the buckets that a batch touches, and replaces rows as well.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(keys)
+        if others := [n for n in Folder(spark, folder).names("") if n.startswith("batch=") and n != f"batch={number}"]:
+            known = spark.read.schema(batch.select(*keys).schema).parquet(*[f"{folder}/{n}" for n in others])
+            rows = rows.join(known, keys, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return write

@@ -27,7 +27,8 @@ def test_keyed_tables(spark):
 def test_csv(spark, tmp_path):
     write_csv(spark.createDataFrame([('a "b", c', [1, 2])], "x string, y array<int>").coalesce(1), str(tmp_path / "o"))
     with open(glob.glob(str(tmp_path / "o" / "part*.csv"))[0], newline="") as f:
-        assert list(csv.reader(f)) == [["x", "y"], ['a "b", c', "[1,2]"]]
+        text = f.read()
+    assert list(csv.reader(text.splitlines(True))) == [["x", "y"], ['a "b", c', "[1,2]"]] and text.count("\r\n") == text.count("\n") == 2
 
 
 def test_streams_equal_batches(spark, sf_dir, tmp_path):
@@ -45,6 +46,16 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).select("event_id").distinct().count() == batch.count()
 
 
+def test_keys_of_earlier_batches_are_left_out(spark, tmp_path):
+    write = keyed_sink(str(tmp_path / "out"), ["k"])
+    rows = lambda *ks: spark.createDataFrame([(k, 1) for k in ks], "k long, v int")
+    write(rows(1, 2, 2), 0)
+    write(rows(2, 3), 1)
+    write(rows(2, 3), 1)
+    write(rows(1, 3), 2)
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
 def test_graphs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (3, 4), (None, 1)], "src int, dst int")
     got = {r.id: r.rank for r in pagerank(edges).collect()}
