@@ -16,7 +16,10 @@ QUERIES = {
     "f13_futures_quote": Query("SELECT l_orderkey, l_linenumber, l_discount > 0 AND @us(o_orderdate; l_shipdate) >= 3600000000 AS eligible, round(CASE WHEN l_discount > 0 AND @us(o_orderdate; l_shipdate) >= 3600000000 THEN l_extendedprice * (1 - l_discount) ELSE l_extendedprice END, 4) AS quote FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"),
     "f15_waterbed_net": Query("""WITH g AS (SELECT c.provider, sum(c.tokens_cached * p.in_usd) / 1e6 AS gross, CASE WHEN count(p.cached_usd) = count(*) THEN sum(c.tokens_out * p.cached_usd) / 1e6 END AS moved FROM {charges} c LEFT JOIN {prices} p ON c.model = p.model WHERE c.region IN ('ASIA', 'EUROPE') GROUP BY c.provider)
         SELECT provider, round(gross, 4) AS gross, round(gross - moved, 4) AS net, coalesce(gross - moved > 0.01e0, false) AS approved FROM g"""),
-    "f16_retry_or_reframe": Query("""WITH s AS (SELECT user_id, count(*) AS n, (sum(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END) + 1e0) / (count(*) + 2e0) AS p_retry, (sum(CASE WHEN event_type = 'view' THEN 1e0 ELSE 0e0 END) + 1e0) / (count(*) + 2e0) AS p_reframe, avg(value) AS cost FROM {events} GROUP BY user_id)
+    # Doubles are added in order of event_id, so that the sum, and with it ties of the two costs, does not depend on how the table is split.
+    "f16_retry_or_reframe": Query("""WITH e AS (SELECT user_id, event_id, event_type, value FROM {events} DISTRIBUTE BY user_id SORT BY user_id, event_id, value), s AS (SELECT user_id, count(*) AS n, (sum(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END) + 1e0) / (count(*) + 2e0) AS p_retry, (sum(CASE WHEN event_type = 'view' THEN 1e0 ELSE 0e0 END) + 1e0) / (count(*) + 2e0) AS p_reframe, avg(value) AS cost FROM e GROUP BY user_id)
+        SELECT user_id, round(cost / p_retry, 4) AS retry_cost, round(1.5e0 * cost / p_reframe, 4) AS reframe_cost, CASE WHEN 1.5e0 * cost / p_reframe < 0.9e0 * cost / p_retry THEN 'reframe' ELSE 'retry' END AS advice FROM s""",
+        own="""WITH s AS (SELECT user_id, count(*) AS n, (sum(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END) + 1e0) / (count(*) + 2e0) AS p_retry, (sum(CASE WHEN event_type = 'view' THEN 1e0 ELSE 0e0 END) + 1e0) / (count(*) + 2e0) AS p_reframe, avg(value) AS cost FROM {events} GROUP BY user_id)
         SELECT user_id, round(cost / p_retry, 4) AS retry_cost, round(1.5e0 * cost / p_reframe, 4) AS reframe_cost, CASE WHEN 1.5e0 * cost / p_reframe < 0.9e0 * cost / p_retry THEN 'reframe' ELSE 'retry' END AS advice FROM s"""),
     "f17_cache_reconcile": Query("""WITH r AS (SELECT agent_id, sum(tokens_cached) AS observed, sum(tokens_out) AS claimed FROM {charges} GROUP BY agent_id)
         SELECT agent_id, CASE WHEN claimed = 0 THEN 'no_claim' WHEN observed = 0 THEN 'stranded' WHEN CAST(observed AS DOUBLE) / claimed < 0.8e0 THEN 'below' WHEN CAST(observed AS DOUBLE) / claimed > 1.2e0 THEN 'above' ELSE 'match' END AS verdict, CAST(CASE WHEN observed = 0 THEN claimed ELSE 0 END AS BIGINT) AS stranded FROM r"""),
