@@ -186,13 +186,13 @@ class OrderedFold(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.row_schema)
 
     def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:  # noqa: N803
-        due: set[int] = set()
+        first = None
         for some in rows:
             some = some[["at_ms", *self.names]]
             self.waiting.appendList([tuple(_plain(x) for x in r) for r in some.itertuples(index=False, name=None)])
-            due.update(int(x) for x in some["at_ms"].unique())
-        for at in due:
-            self.handle.registerTimer(at)
+            first = int(some["at_ms"].min()) if first is None else min(first, int(some["at_ms"].min()))
+        if first is not None:
+            self.handle.registerTimer(first)  # takes all rows that are due by then and sets the timer of the next
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator:  # noqa: N803
@@ -220,6 +220,7 @@ class OrderedFold(StatefulProcessor):
         self.waiting.clear()
         if left:
             self.waiting.put(left)
+            self.handle.registerTimer(min(r[0] for r in left))
         if self.idle_ms is not None:
             self.handle.registerTimer(last + self.idle_ms + 1)
         return iter([pd.DataFrame(out, columns=self.types)])

@@ -110,3 +110,31 @@ def test_walk_equals_the_batch_windows(spark, tmp_path):
     got = stateful.replayed(stream, stateful.RoiWalk(), ["session"], "ts", "turn", late="1 day").select("session", "turn", *names)
     plainly = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())
     assert plainly(got) == plainly(want) and len(rows) == got.count()
+
+
+def test_a_key_has_one_timer_a_batch():
+    """Rows of a key set the timer of the first alone; when it fires, all that is due goes and the next one's is set."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.rows, self.timers, self.value = [], [], None
+
+        def getValueState(self, *_):
+            return type("V", (), {"exists": lambda s: self.value is not None, "get": lambda s: self.value, "update": lambda s, v: setattr(self, "value", v)})()
+
+        def getListState(self, *_):
+            return type("L", (), {"appendList": lambda s, r: self.rows.extend(r), "get": lambda s: iter(self.rows), "clear": lambda s: self.rows.clear(), "put": lambda s, r: self.rows.extend(r)})()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    names = ["at_us", "event_id", "spent", "budget"]
+    fold = stateful.OrderedFold(stateful.Price(), "event_id", "", names, ["k", "at_us", "event_id", "price", "integral"], None)
+    handle = Held()
+    fold.init(handle)
+    fold.handleInputRows((1,), iter([pd.DataFrame([(t, t * 1000, t, 1.0, 1.0) for t in (30, 10, 20, 40)], columns=["at_ms", *names])]), None)
+    assert handle.timers == [10]
+    now = type("T", (), {"getCurrentWatermarkInMs": lambda s: 25})()
+    assert [list(d.event_id) for d in fold.handleExpiredTimer((1,), now, None)] == [[10, 20]]
+    assert handle.timers == [10, 30] and sorted(r[0] for r in handle.rows) == [30, 40]
