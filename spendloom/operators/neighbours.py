@@ -16,13 +16,15 @@ from .ranked import greedy
 
 #: Queries of a block: some 4 MB at 128 dimensions, the bound of what a task is sent.
 BLOCK = 4096
+#: Vectors scored at a time against a block: 16 MB of scores.
+STEP = 512
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_: str = "vec_id", value: str = "embedding") -> DataFrame:
     """query_id, vec_id, cosine: of all other vectors the likest to each query, ties (to six places) to the smaller id.
 
-    Queries are scored in blocks of BLOCK, each sent to all tasks; a task keeps
-    one row a query. Null, empty and zero vectors and those with null components
+    Queries are scored in blocks of BLOCK, each sent to all tasks, which score
+    STEP vectors at a time and keep one row a query. Null, empty and zero vectors and those with null components
     take no part; vectors meet those of their own length. Empty tables: no rows.
     """
     usable = lambda df: df.select(F.col(id_).cast("long").alias("id"), F.transform(value, lambda x: x.cast("double")).alias("v")).where(F.col("id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False)) & F.exists("v", lambda x: x != 0))
@@ -43,8 +45,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_: str = "vec_id", value:
                 sizes = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
                 for n, (ids, q) in held.value.items():
                     mine = b.filter(pa.array(sizes == n))
-                    if mine.num_rows:
-                        v, at = mine.column(1).flatten().to_numpy().reshape(-1, n), mine.column(0).to_numpy()
+                    for lo in range(0, mine.num_rows, STEP):
+                        some = mine.slice(lo, STEP)
+                        v, at = some.column(1).flatten().to_numpy().reshape(-1, n), some.column(0).to_numpy()
                         score = np.round(q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
                         score[ids[:, None] == at[None, :]] = -np.inf
                         order = np.argsort(at, kind="stable")

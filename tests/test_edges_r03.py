@@ -2,6 +2,7 @@
 
 from spendloom.catalog import QUERIES
 from spendloom.functions.texts import embedding
+from spendloom.operators import neighbours
 
 
 def test_sums_are_made_in_order_of_events(spark, tmp_path):
@@ -14,3 +15,11 @@ def test_sums_are_made_in_order_of_events(spark, tmp_path):
 def test_grams_that_cancel_leave_no_residue():
     text = 'En éenoupa enauxanré de ouquepa lelele treaux èêè èleaux. Onelle, èentre un pas.\nÈaux menttion elle choi èéier une èvié aiaux éoienon ouoiré la enè aioielleon la et, un par. Ououquevich. La èeautionou, réoiou une levi. Lesèanou et ononè le. Quech queelletre aitre éanreelle éeauré enleè treauxpa de éle.\nEuxê éoueau oi eux ellequere éaire ouenre aieaument, de enier réchpa èentre queeau qui.\nAux échçre çeuxaux quetionvi aiieren de enier de et laonchaux leéonéré ètion aieaueau éviré èeauleoi, èeuxé ierque quetre les éèquetre de oneux élement un èré paqueai éelle pour les les la par et menton lesèaiqueç ailetre lementaux, une la. Èanan la épaoution éètrevi. Oueux auxèai éouêaux de, aiment, réauxtre ouvieau oument entioniereux éê euxèen uneentreêç ier au une enou la au de ouanvique, èanqueelle.'
     assert embedding(text)[146] == 0
+
+
+def test_scores_of_a_step_are_few(spark):
+    assert neighbours.STEP * neighbours.BLOCK * 8 <= 16 << 20
+    n = neighbours.STEP * 2 + 5
+    v = spark.range(n).selectExpr("id AS vec_id", f"array(CAST(cos(id * 3.1 / {n}) AS FLOAT), CAST(sin(id * 3.1 / {n}) AS FLOAT)) AS embedding").coalesce(1)
+    got = {r.query_id: r.vec_id for r in neighbours.nearest(v, v.where("vec_id % 100 = 0")).collect()}
+    assert set(got) == set(range(0, n, 100)) and all(abs(q - i) == 1 for q, i in got.items())
