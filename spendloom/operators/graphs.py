@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.spread import dealt
 from ..plans.storage import cut
 
+#: Nodes of a frontier that are sent to all tasks; a larger one is dealt like the links.
+SENT = 100_000
+
 
 def pagerank(edges: DataFrame, bias: DataFrame | None = None, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """(id, rank) of a graph (src, dst); ranks sum to 1.
@@ -46,14 +50,17 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, directed
     links = edges.dropna(subset=["src", "dst"]).select("src", "dst")
     if not directed:
         links = links.union(links.select(F.col("dst"), F.col("src")))
-    links = cut(links.distinct(), "links")
+    links = cut(links, "links")  # repeats do no harm
+    n = links.count()
     seen = frontier = cut(start.select("id").dropna().distinct().withColumn("distance", F.lit(0)), "reach")
-    step = 0
+    step, size = 0, seen.count()
     while depth is None or step < depth:
         step += 1
-        near = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        at = frontier.select(F.col("id").alias("src"))
+        near = links.join(F.broadcast(at), "src") if size <= SENT else dealt(links, n, "src").join(dealt(at, n, "src"), "src")
+        near = dealt(near.select(F.col("dst").alias("id")), n, "id").distinct()
         frontier = cut(near.join(seen, "id", "left_anti").withColumn("distance", F.lit(step)), "reach")
-        if frontier.isEmpty():
+        if not (size := frontier.count()):
             break
         seen = seen.union(frontier)
     return seen
@@ -61,7 +68,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, directed
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000_000).alias("dst")).distinct()
+    return dealt(lines.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000_000).alias("dst")), lines.count(), "src", "dst").distinct()
 
 
 def r1_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.spread import dealt
 from ..plans.storage import cut
 from .graphs import reach
 from .ranked import greedy
@@ -85,10 +86,11 @@ def pull_or_push(edges: DataFrame, tokens: DataFrame, wanted: DataFrame, signatu
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts of an order depend on the part with the next larger key in it; a part's tokens are its size."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = dealt(table.select("l_orderkey", "l_partkey"), table.count(), "l_orderkey").distinct()
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
-    edges = a.join(b, "l_orderkey").where("src < dst").groupBy("l_orderkey", "src").agg(F.min("dst").alias("dst")).select("src", "dst").distinct()
+    edges = a.join(b, "l_orderkey").where("src < dst").groupBy("l_orderkey", "src").agg(F.min("dst").alias("dst")).select("src", "dst")  # repeats are nothing to reach
     return edges, part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("tokens"))
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .spread import spread
+from .spread import dealt_texts, spread
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FORMS = {
@@ -71,17 +71,18 @@ def _render(sql: str, spark: bool) -> str:
 
 @dataclass(frozen=True)
 class Query:
-    """A declared query. sql runs in both dialects, or own holds DuckDB's text. dear: tables whose rows take long, which are spread by their first column."""
+    """A declared query. sql runs in both dialects, or own holds DuckDB's text. dear: tables whose rows take long, which are spread by their first column. texts: tables whose texts are dealt by their first column into parts that don't grow."""
 
     sql: str
     own: str | None = None
     dear: tuple[str, ...] = ()
+    texts: tuple[str, ...] = ()
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         text = _render(self.sql, True)
         names = [t for t in TABLES if f"{{{t}}}" in text]
         tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
-        return spark.sql(text, **{t: spread(df, df.columns[0]) if t in self.dear else df for t, df in tables.items()})
+        return spark.sql(text, **{t: spread(df, df.columns[0]) if t in self.dear else dealt_texts(df, df.columns[0]) if t in self.texts else df for t, df in tables.items()})
 
     def duckdb(self) -> str:
         text = _render(self.own or self.sql, False)

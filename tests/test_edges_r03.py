@@ -2,7 +2,8 @@
 
 from spendloom.catalog import QUERIES
 from spendloom.functions.texts import embedding
-from spendloom.operators import neighbours
+from spendloom.operators import graphs, neighbours
+from spendloom.plans import spread
 
 
 def test_sums_are_made_in_order_of_events(spark, tmp_path):
@@ -17,6 +18,24 @@ def test_grams_that_cancel_leave_no_residue():
     assert embedding(text)[146] == 0
 
 
+def test_parts_do_not_grow_with_their_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 10)
+    monkeypatch.setattr(spread, "TEXT_ROWS", 10)
+    df = spark.range(200)
+    df.write.parquet(f"{tmp_path}/t")
+    assert spread.dealt(df, 200, "id").rdd.getNumPartitions() == 20 and spread.dealt(df, 10, "id") is df
+    assert spread.dealt_texts(spark.read.parquet(f"{tmp_path}/t"), "id").rdd.getNumPartitions() == 20
+    assert QUERIES["r7_keyword_search"].texts == QUERIES["j8_skill_overlap"].texts == ("documents",)
+
+
+def test_reach_by_large_frontiers_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 10)
+    monkeypatch.setattr(graphs, "SENT", 2)
+    edges = spark.createDataFrame([(i, j) for i in range(40) for j in (2 * i, 2 * i + 1, 2 * i + 1) if 0 < i and j < 40] + [(None, 3)], "src int, dst int")
+    got = {r.id: r.distance for r in graphs.reach(edges, spark.createDataFrame([(1,)], "id int")).collect()}
+    assert got == {i: i.bit_length() - 1 for i in range(1, 40)}
+
+
 def test_scores_of_a_step_are_few(spark):
     assert neighbours.STEP * neighbours.BLOCK * 8 <= 16 << 20
     n = neighbours.STEP * 2 + 5
