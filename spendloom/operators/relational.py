@@ -19,8 +19,9 @@ QUERIES = {
     "j5_surviving_edges": Query("SELECT src, dst FROM {edges} e LEFT SEMI JOIN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0) s ON e.src = s.s_suppkey LEFT SEMI JOIN (SELECT p_partkey + 1000000000000 AS node FROM {part} WHERE p_size >= 10) p ON e.dst = p.node",
         own="SELECT src, dst FROM {edges} WHERE src IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0) AND dst - 1000000000000 IN (SELECT p_partkey FROM {part} WHERE p_size >= 10)"),
     "j6_symbol_edges": Query("SELECT DISTINCT a.l_suppkey AS src, b.ps AS dst FROM {lineitem} a JOIN (SELECT l_partkey AS pk, min(l_suppkey) AS ps FROM {lineitem} GROUP BY l_partkey) b ON a.l_partkey = b.pk WHERE a.l_suppkey <> b.ps"),
-    "j8_skill_overlap": Query(f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), nd AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), nq AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), c AS (SELECT item_id, doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY item_id, doc_id),
-        s AS (SELECT c.item_id, c.doc_id, CAST(c AS DOUBLE) / (nd.n + nq.n - c) AS sim FROM c JOIN nd ON c.doc_id = nd.doc_id JOIN nq ON c.item_id = nq.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS k FROM s WHERE sim >= 0.5e0) SELECT item_id, doc_id, round(sim, 6) AS sim FROM r WHERE k <= 5""", dear=("documents",)),
+    "j8_skill_overlap": Query(f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), nd AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), nq AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), c AS (SELECT /*+ BROADCAST(q) */ item_id, doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY item_id, doc_id),
+        s AS (SELECT /*+ BROADCAST(nq) */ c.item_id, c.doc_id, CAST(c AS DOUBLE) / (nd.n + nq.n - c) AS sim FROM c JOIN nd ON c.doc_id = nd.doc_id JOIN nq ON c.item_id = nq.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS k FROM s WHERE sim >= 0.5e0) SELECT item_id, doc_id, round(sim, 6) AS sim FROM r WHERE k <= 5""", own=f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), nd AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), nq AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), c AS (SELECT item_id, doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY item_id, doc_id),
+        s AS (SELECT c.item_id, c.doc_id, CAST(c AS DOUBLE) / (nd.n + nq.n - c) AS sim FROM c JOIN nd ON c.doc_id = nd.doc_id JOIN nq ON c.item_id = nq.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS k FROM s WHERE sim >= 0.5e0) SELECT item_id, doc_id, round(sim, 6) AS sim FROM r WHERE k <= 5""", texts=("documents",)),
     "j10_divergence": Query("SELECT coalesce(a.user_id, b.user_id - 1) AS pair, min(CASE WHEN a.event_type IS NULL OR b.event_type IS NULL OR a.event_type <> b.event_type THEN coalesce(a.i, b.i) END) AS diverges_at FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {events} WHERE user_id % 2 = 0) a FULL JOIN (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {events} WHERE user_id % 2 = 1) b ON a.user_id = b.user_id - 1 AND a.i = b.i GROUP BY coalesce(a.user_id, b.user_id - 1)"),
     "j11_ancestor_charges": Query("WITH RECURSIVE " + _UP + """, c AS (SELECT nation, sum(CAST(cost_usd AS DECIMAL(18, 4))) AS cost, count(*) AS n FROM {charges} GROUP BY nation)
         SELECT envelope, hops, CAST(sum(cost) AS DOUBLE) AS cost, sum(n) AS n FROM c JOIN up ON nation = base GROUP BY envelope, hops""", own="WITH RECURSIVE " + _UP + """
@@ -41,8 +42,9 @@ QUERIES = {
     "t1_token_estimate": Query("SELECT doc_id, CAST(ceil(length(text) / 4e0) AS BIGINT) AS tokens, CAST(ceil(length(text) / 3e0) AS BIGINT) AS code_tokens FROM {documents}"),
     "t18_freshness": Query("SELECT doc_id, @sha(text) AS digest FROM {documents}"),
     "r5_in_degree": Query("SELECT dst, count(DISTINCT src) AS in_degree FROM {edges} GROUP BY dst"),
-    "r7_keyword_search": Query(f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), s AS (SELECT q.item_id, w.doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY q.item_id, w.doc_id),
-        r AS (SELECT s.item_id, doc_id, CAST(c AS DOUBLE) / n AS score, row_number() OVER (PARTITION BY s.item_id ORDER BY CAST(c AS DOUBLE) / n DESC, doc_id) AS k FROM s JOIN n ON s.item_id = n.item_id) SELECT item_id, doc_id, round(score, 6) AS score FROM r WHERE k <= 10""", dear=("documents",)),
+    "r7_keyword_search": Query(f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), s AS (SELECT /*+ BROADCAST(q) */ q.item_id, w.doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY q.item_id, w.doc_id),
+        r AS (SELECT /*+ BROADCAST(n) */ s.item_id, doc_id, CAST(c AS DOUBLE) / n AS score, row_number() OVER (PARTITION BY s.item_id ORDER BY CAST(c AS DOUBLE) / n DESC, doc_id) AS k FROM s JOIN n ON s.item_id = n.item_id) SELECT item_id, doc_id, round(score, 6) AS score FROM r WHERE k <= 10""", own=f"""WITH w AS ({_WORDS}), q AS (SELECT item_id, @wordset(text) AS w FROM {{benchmark}}), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), s AS (SELECT q.item_id, w.doc_id, count(*) AS c FROM q JOIN w ON q.w = w.w GROUP BY q.item_id, w.doc_id),
+        r AS (SELECT s.item_id, doc_id, CAST(c AS DOUBLE) / n AS score, row_number() OVER (PARTITION BY s.item_id ORDER BY CAST(c AS DOUBLE) / n DESC, doc_id) AS k FROM s JOIN n ON s.item_id = n.item_id) SELECT item_id, doc_id, round(score, 6) AS score FROM r WHERE k <= 10""", texts=("documents",)),
     "x3_tumbling": Query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS spend FROM {events} GROUP BY CAST(ts AS DATE), event_type"),
     "s18_churn": Query("SELECT l_partkey AS path, count(DISTINCT l_orderkey) AS commits FROM {lineitem} GROUP BY l_partkey"),
 }
