@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.spread import dealt_joins
+
 READ, WRITE = 0.1, {"5m": 1.25, "1h": 2.0}
 #: What a request asks for, in the order in which they are tried.
 INTENTS = {
@@ -228,7 +230,8 @@ def f28_tab_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q8_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models (the arms) of each market segment against the one of finished returns."""
-    j = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    t = dealt_joins({name: _read(spark, sf_dir, name) for name in ("lineitem", "orders", "customer")})
+    j = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
     runs = j.select(F.col("c_mktsegment").alias("segment"), F.concat("l_returnflag", "l_linestatus").alias("model"), (F.col("l_discount") > 0.02).alias("accepted"), F.when(F.col("l_tax") > 0.01, F.col("l_tax") > 0.02).alias("tested"), F.when(F.col("l_returnflag") == "N", F.col("l_quantity") * 0.5).otherwise(F.col("l_quantity")).cast("decimal(18,4)").alias("cost"))
     return recommend(runs, "segment", "model", "RF")
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .spread import dealt_texts, spread
+from .spread import dealt_joins, dealt_texts, spread
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FORMS = {
@@ -81,7 +81,7 @@ class Query:
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         text = _render(self.sql, True)
         names = [t for t in TABLES if f"{{{t}}}" in text]
-        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
+        tables = dealt_joins({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
         return spark.sql(text, **{t: spread(df, df.columns[0]) if t in self.dear else dealt_texts(df, df.columns[0]) if t in self.texts else df for t, df in tables.items()})
 
     def duckdb(self) -> str:
