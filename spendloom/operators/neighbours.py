@@ -95,6 +95,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _seeds(tokens: DataFrame) -> DataFrame:
+    """The part with the smallest key: links lead to larger keys, so it has most to reach (the largest has nothing)."""
     return tokens.agg(F.min("id").alias("id"))
 
 
@@ -113,7 +114,7 @@ def r2_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r4_pull_or_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, tokens = _graph(spark, sf_dir)
-    return pull_or_push(edges, tokens, tokens.agg(F.max("id").alias("id")))
+    return pull_or_push(edges, tokens, _seeds(tokens))
 
 
 QUERIES = {f.__name__: f for f in (j7_nearest, r2_slice, r4_pull_or_push)}
@@ -124,7 +125,7 @@ ORACLE_SQL = {
     "r2_slice": "WITH RECURSIVE " + _EDGES + """, r(id, d) AS (SELECT min(p_partkey), 0 FROM part UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.id WHERE r.d < 3), m AS (SELECT id, min(d) AS d FROM r GROUP BY id), o AS (SELECT id, CAST(p_size AS BIGINT) AS tokens, row_number() OVER (ORDER BY d, p_size, id) AS i FROM m JOIN part ON p_partkey = id),
         g AS (SELECT id, tokens, i, tokens <= 400 AS included, CASE WHEN tokens <= 400 THEN tokens ELSE 0 END AS running FROM o WHERE i = 1 UNION ALL SELECT o.id, o.tokens, o.i, g.running + o.tokens <= 400, g.running + CASE WHEN g.running + o.tokens <= 400 THEN o.tokens ELSE 0 END FROM g JOIN o ON o.i = g.i + 1)
         SELECT id AS item, tokens, included, CAST(running AS BIGINT) AS running FROM g""",
-    "r4_pull_or_push": "WITH RECURSIVE " + _EDGES + """, r(id) AS (SELECT max(p_partkey) FROM part UNION SELECT e.dst FROM r JOIN e ON e.src = r.id), t AS (SELECT CAST(p_size AS BIGINT) AS tokens, r.id IS NOT NULL AS inside FROM part LEFT JOIN r ON r.id = p_partkey),
+    "r4_pull_or_push": "WITH RECURSIVE " + _EDGES + """, r(id) AS (SELECT min(p_partkey) FROM part UNION SELECT e.dst FROM r JOIN e ON e.src = r.id), t AS (SELECT CAST(p_size AS BIGINT) AS tokens, r.id IS NOT NULL AS inside FROM part LEFT JOIN r ON r.id = p_partkey),
         s AS (SELECT count(*) FILTER (inside) AS closure, sum(tokens) AS push, sum(floor(tokens * 0.1)) + coalesce(sum(tokens) FILTER (inside), 0) AS pull, coalesce(max(tokens) FILTER (NOT inside), 0) AS buffer FROM t)
         SELECT closure, CAST(push AS BIGINT) AS push, CAST(pull AS BIGINT) AS pull, buffer, CASE WHEN pull + buffer < push THEN 'pull' ELSE 'push' END AS decision FROM s""",
 }
